@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, langid, pieces, simhash, toxicity
+from . import decontaminate, exact_dedup, langid, line_dedup, pieces, pii, secret_scan, simhash, toxicity
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(documents(spark, sf_dir))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest_columns(secret_scan.secret_scan(documents(spark, sf_dir)))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -40,15 +44,26 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest_columns(pii.personal_data(documents(spark, sf_dir)), pii.KINDS)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
+    "op3_secret_scan": op3_secret_scan,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_personal_data": op10_personal_data,
 }
 
 #: DuckDB. The other queries have none: they segment, hash, learn or search in ways that SQL can't express; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact_dedup.SQL, "op9_line_dedup": line_dedup.SQL}
