@@ -96,7 +96,9 @@ class Model:
                 for c, to in edges.items():
                     t[s, self.column[ord(c)]] = to
             begin = np.where(t[0] >= 0, t[0], 0)
-            tables.append(np.where(t >= 0, (t + root) * 2, (begin + root)[None, :] * 2 + 1))
+            t = np.where(t >= 0, (t + root) * 2, (begin + root)[None, :] * 2 + 1)
+            t[0] |= 1  # what leaves the root begins a phrase, also after a character that the sample doesn't hold
+            tables.append(t)
         self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.empty(0, np.int32)
         self.rate = np.ones(len(self.langs))
         if tables:
@@ -139,7 +141,7 @@ class Model:
         if not n:
             return
         state = np.repeat(self.root[:, None], n, axis=1)  # language x lane
-        count = np.ones((langs, n), np.int32)
+        count = np.zeros((langs, n), np.int32)
         alive = np.searchsorted(-length, -np.arange(LANE), side="left")  # lanes longer than each step
         for step in range(int(length[0])):
             m = alive[step]
