@@ -1,11 +1,11 @@
 """Operator 6, toxicity: cumulative-link (proportional odds) ordinal regression over sparse text features.
 
 P(grade > k) = sigmoid(w.x - t_k) with one weight vector for all thresholds t_1 < t_2 < ...; the result is the expected severity, the sum
-of these probabilities. Features of a text are its distinct words and the 4- and 5-letter prefixes of its longer words (a prefix counts
+of these probabilities. Features of a text are its distinct words and the 3- to 7-letter prefixes of its longer words (a prefix counts
 once per distinct word), of which the model keeps those that tell grades apart in the sample.
 
 The model is fitted on the driver from a bounded sample: at most SAMPLE_ROWS labelled texts of each label, those with the smallest hash of
-their text, one row per distinct text. Where labels say only toxic or not, the toxic ones are graded 1 or 2 by how many distinct indicator
+their text, one of each set of near copies (texts with the same two least hashes of long words), so that a text that was copied often weighs once. Where labels say only toxic or not, the toxic ones are graded 1 or 2 by how many distinct indicator
 words they hold, split at the median. Prediction reads every text whole, and runs without a shuffle.
 """
 
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ ERRORS = 5.0
 LOG_ODDS = 1.0
 RIDGE = 2e-4
 STEPS = 400
+PREFIXES = (3, 4, 5, 6, 7)
 MEMO_WORDS = 400_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -40,7 +42,7 @@ def words(text: str) -> set[str]:
 
 def parts(word: str) -> list[str]:
     """Features of a word: itself, and prefixes with a star."""
-    return [word, *(word[:k] + "*" for k in (4, 5) if len(word) > k)]
+    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
 @dataclass(frozen=True)
@@ -72,7 +74,7 @@ class Ordinal:
 def features(texts: list[Counter], toxic: np.ndarray) -> list[str]:
     """Features that tell toxic texts apart, by how many of either kind hold them; at most FEATURES, the strongest first.
 
-    A word or longer prefix is left out if a prefix of it is kept and tells at least about as much."""
+    Of a word and its prefixes only the one that tells most is kept, of about equal ones the longest."""
     have = (Counter(), Counter())
     for x, y in zip(texts, toxic):
         have[int(y)].update(x.keys())
@@ -85,11 +87,15 @@ def features(texts: list[Counter], toxic: np.ndarray) -> list[str]:
         errors = abs(a / n[1] - b / n[0]) / math.sqrt(max(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
         if abs(odds) >= LOG_ODDS and errors >= ERRORS:
             scored[f] = (odds, errors)
-    for f in sorted(scored, key=lambda f: (-len(f), f)):
-        shorter = [scored[g] for g in parts(f.rstrip("*"))[1:] if g != f and g in scored]
-        if any(odds * scored[f][0] > 0 and abs(odds) >= abs(scored[f][0]) - 0.5 for odds, _ in shorter):
-            del scored[f]
-    return sorted(scored, key=lambda f: (-scored[f][1], f))[:FEATURES]
+    kept: list[str] = []
+    taken: set[str] = set()  # of what is kept: the prefixes it has, and it itself
+    for f in sorted(scored, key=lambda f: (-abs(scored[f][0]) * scored[f][1] * (1 + len(f) / 100), f)):
+        chain = parts(f.rstrip("*"))[1:] if not f.endswith("*") else [f[:k] + "*" for k in PREFIXES if k < len(f) - 1]
+        if f in taken or any(g in kept for g in chain):
+            continue
+        kept.append(f)
+        taken.update([f, *chain])
+    return kept[:FEATURES]
 
 
 def fit(texts: list[str], grades: list[int] | np.ndarray, steps: int = STEPS, ridge: float = RIDGE) -> Ordinal:
@@ -167,19 +173,24 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label_col
         few = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
         picked = few if picked is None else picked.unionByName(few)
     got = project(docs).join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id").filter("text IS NOT NULL").select("text", "y").collect()
-    seen: dict[str, int] = {}
-    for t, y in sorted((r[0], r[1]) for r in got):
-        seen[t] = max(y, seen.get(t, 0))
-    by_hash = sorted(seen.items(), key=lambda x: (hash_of(x[0]), x[0]))
+    seen: dict[tuple, tuple[str, int]] = {}
+    for t, y in sorted(((r[0], r[1]) for r in got), key=lambda x: (hash_of(x[0]), x)):
+        k = sketch(t)
+        seen[k] = (seen[k][0], max(y, seen[k][1])) if k in seen else (t, y)
+    by_hash = list(seen.values())
     use = [x for x in by_hash if x[1] > 0][:rows] + [x for x in by_hash if x[1] <= 0][:rows]
     texts, y = [t for t, _ in use], [a for _, a in use]
     return fit(texts, y if any(a > 1 for a in y) else grade(texts, y))
 
 
-def hash_of(text: str) -> int:
-    import xxhash
+def hash_of(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
 
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+def sketch(text: str) -> tuple:
+    """The least hashes, under two seeds, of the words of 8 letters or more; the text itself where there are none."""
+    long = [w for w in words(text) if len(w) >= 8]
+    return tuple(min(hash_of(w, s) for w in long) for s in (1, 2)) if long else (text,)
 
 
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
