@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_text, by_row, project, ship
+from .secret_scan import FOUND, FOUND_SCHEMA
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 20
@@ -318,7 +319,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text
 
 
 def personal_data(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, found array<struct<kind, start, end, text>>) of every row, without a shuffle; spans by start, then kind.
+    """(doc_id, found array<struct<kind, start, end, text, base>>) of every row, without a shuffle; spans by start, then kind.
 
     weights: of a trained field; without them one is trained on a sample of docs. Null and empty texts hold none; repeated rows are scanned each;
     other columns are ignored; an empty table gives an empty one.
@@ -334,10 +335,10 @@ def personal_data(docs: DataFrame, weights: dict[str, float] | None = None, id_c
             for t in as_text(b.column(1)):
                 base = base_spans(t)
                 spans = in_order(base + model_spans(t, base, field)) if base or _AT.search(t) else []
-                found.append([{"kind": k, "start": x, "end": y, "text": t[x:y]} for k, x, y in spans])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["doc_id", "found"])
+                own = set(base)
+                found.append([{"kind": k, "start": x, "end": y, "text": t[x:y], "base": (k, x, y) in own} for k, x, y in spans])
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, FOUND)], ["doc_id", "found"])
 
         return f
 
-    return by_row(project(docs, id_col, text_col), "doc_id long, found array<struct<kind: string, start: int, end: int, text: string>>", make)
+    return by_row(project(docs, id_col, text_col), FOUND_SCHEMA, make)

@@ -37,6 +37,9 @@ _PART = re.compile(r"(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)?\Z")
 _CUT = re.compile(r"[-_/=+]+")
 _ENCODINGS: dict[str, object] = {}
 Span = tuple[str, int, int]
+#: What both scanners return; base tells the patterns' spans from those that the method adds.
+FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("base", pa.bool_())]))
+FOUND_SCHEMA = "doc_id long, found array<struct<kind: string, start: int, end: int, text: string, base: boolean>>"
 
 
 def encoding(path: str):
@@ -90,7 +93,7 @@ def render(spans: list[Span]) -> str:
 
 
 def secret_scan(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text", ratio: float = CHARS_PER_TOKEN) -> DataFrame:
-    """(doc_id, found array<struct<kind, start, end, text>>) of every row, without a shuffle; spans by start, then kind.
+    """(doc_id, found array<struct<kind, start, end, text, base>>) of every row, without a shuffle; spans by start, then kind.
 
     Null and empty texts hold none; repeated rows are scanned each; other columns are ignored; an empty table gives an empty one.
     """
@@ -102,18 +105,17 @@ def secret_scan(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", tex
             found = []
             for t in as_text(b.column(1)):
                 base = base_spans(t)
-                found.append([{"kind": k, "start": x, "end": y, "text": t[x:y]} for k, x, y in in_order(base + token_spans(t, base, enc, ratio))])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["doc_id", "found"])
+                found.append([{"kind": k, "start": x, "end": y, "text": t[x:y], "base": k != "token"} for k, x, y in in_order(base + token_spans(t, base, enc, ratio))])
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, FOUND)], ["doc_id", "found"])
 
         return f
 
-    return by_row(project(docs, id_col, text_col), "doc_id long, found array<struct<kind: string, start: int, end: int, text: string>>", make)
+    return by_row(project(docs, id_col, text_col), FOUND_SCHEMA, make)
 
 
 def digest_columns(found: DataFrame, base: tuple[str, ...] = KINDS[:3]) -> DataFrame:
     """Counts and hashes of (doc_id, found): n_<kind> per base kind, base_sha256 over the base spans, and all spans."""
     text = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    of = lambda *kinds: F.filter("found", lambda s: s["kind"].isin(*kinds))
+    of = lambda *kinds: F.filter("found", lambda s: s["base"] & s["kind"].isin(*kinds))
     return found.select("doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in base), F.sha2(text(of(*base)), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
 
