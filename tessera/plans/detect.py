@@ -51,3 +51,12 @@ def edges(modules: DataFrame) -> DataFrame:
 def scan(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Parsed modules of a Python tree, kept for the lenses that share them."""
     return python_source.modules(spark, root, exclude).cache()
+
+
+def declared_seams(modules: DataFrame) -> DataFrame:
+    """Seams of front ends that give declarations only: public ones, without re-exports and override points."""
+    d = modules.filter("parse_error IS NULL").select(F.col("qualname").alias("module"), F.posexplode("declarations").alias("idx", "x")).select("module", "idx", "x.*").filter("is_public")
+    kind = F.when(F.col("kind") == "function", "function").when(F.col("is_abstract"), "abstract_class").otherwise("class")
+    detail = F.array_join(F.when(F.col("kind") == "function", F.col("decorators")).otherwise(F.col("bases")), ", ")
+    group = F.when(F.col("kind") == "function", 0).otherwise(1)
+    return d.select(kind.alias("kind"), "module", "name", "lineno", detail.alias("detail"), F.lit(False).alias("reexported"), F.lit(False).alias("has_override_point"), F.struct(F.col("module").alias("module_ord"), group.alias("grp"), "idx").alias("seam_ord"))
