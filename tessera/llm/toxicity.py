@@ -5,7 +5,7 @@ of these probabilities. Features of a text are its distinct words and the 3- to
 once per distinct word), of which the model keeps those that tell grades apart in the sample.
 
 The model is fitted on the driver from a bounded sample: at most SAMPLE_ROWS labelled texts of each label, those with the smallest hash of
-their text, one of each set of near copies (texts with the same two least hashes of long words), so that a text that was copied often weighs once. Where labels say only toxic or not, the toxic ones are graded 1 or 2 by how many distinct indicator
+their text, one of each set of near copies (texts with the same two least hashes of 3-word sequences), so that a text that was copied often weighs once. Where labels say only toxic or not, the toxic ones are graded 1 or 2 by how many distinct indicator
 words they hold, split at the median. Prediction reads every text whole, and runs without a shuffle.
 """
 
@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -188,9 +189,9 @@ def hash_of(text: str, seed: int = 0) -> int:
 
 
 def sketch(text: str) -> tuple:
-    """The least hashes, under two seeds, of the words of 8 letters or more; the text itself where there are none."""
-    long = [w for w in words(text) if len(w) >= 8]
-    return tuple(min(hash_of(w, s) for w in long) for s in (1, 2)) if long else (text,)
+    """The two least hashes of the text's 3-word sequences; the text itself where there are none."""
+    w = text.lower().split()
+    return tuple(nsmallest(2, {hash_of(" ".join(x)) for x in zip(w, w[1:], w[2:])})) or (text,)
 
 
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
