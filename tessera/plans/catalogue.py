@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import names as N
 from tessera.operators import crosscheck, diff, docgen, evaluate, facts, graph, ranking, scoring, sinks
-from tessera.sources import config_scan, python_source
+from tessera.sources import config_scan, python_source, snapshots
 
-from . import detect
+from . import detect, validate
 from .adapters import ctes, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -589,3 +589,98 @@ def _(spark, d):
 def _(spark, d):
     """Risk findings in this library's own source."""
     return detect.audit(detect.scan(spark, _own_source())).select("module", "lineno", "dotted", "id", "category", "severity", "confidence")
+
+
+# --- smaller operators ---
+@query("ok_failed_modules", f"""{ctes('v_modules')}, m AS (SELECT path, CASE WHEN ord % 5 = 0 THEN 'SyntaxError' END AS parse_error FROM v_modules) SELECT parse_error IS NULL AS ok, count(*) AS n FROM m GROUP BY 1""")
+def _(spark, d):
+    m = view(spark, d, "v_modules").withColumn("parse_error", F.when(F.col("ord") % 5 == 0, "SyntaxError"))
+    return m.groupBy(F.col("parse_error").isNull().alias("ok")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("module_path_join", f"""{_LOOKUP}, p AS (SELECT 'mod' || CAST(c_custkey % 25 AS STRING) AS module, arg_max(c_name, c_custkey) AS path FROM customer GROUP BY 1)
+  SELECT f.ord, f.module, p.path FROM found f JOIN p ON p.module = f.module""")
+def _(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    path = c.groupBy(F.concat(F.lit("mod"), (F.col("c_custkey") % 25).cast("string")).alias("module")).agg(F.max_by("c_name", "c_custkey").alias("path"))
+    return sinks.lookup_python(view(spark, d, "v_calls")).join(path, "module").select("ord", "module", "path")
+
+
+@query("override_exists", "SELECT o_custkey AS cls, bool_or(o_orderstatus = 'P') AS has_override_point FROM orders GROUP BY 1")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("cls")).agg(F.bool_or(F.col("o_orderstatus") == "P").alias("has_override_point"))
+
+
+@query("implement_projection", """WITH m AS (SELECT o_custkey AS cls, o_orderkey AS ord, 'def m' || CAST(o_orderkey AS STRING) || '(self, ' || lower(o_orderstatus) || ')' AS sig FROM orders WHERE o_orderpriority LIKE '1%')
+  SELECT cls, string_agg(sig, '; ' ORDER BY ord) AS implement FROM m GROUP BY 1""")
+def _(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    decorators = F.when(F.col("o_orderpriority").startswith("1"), F.array(F.lit("abc.abstractmethod"))).otherwise(F.array(F.lit("property")))
+    method = F.struct(F.col("o_orderkey").alias("ord"), F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("name"), F.array(F.lit("self"), F.lower("o_orderstatus")).alias("args"), decorators.alias("decorators"))
+    per = o.groupBy(F.col("o_custkey").alias("cls")).agg(F.array_sort(F.collect_list(method)).alias("methods"))
+    return per.select("cls", F.array_join(facts.to_implement(F.col("methods")), "; ").alias("implement")).filter("implement <> ''")
+
+
+@query("fact_text", f"""{_POINTS} SELECT seam_ord, 'module: ' || module || chr(10) || 'symbol: ' || name || chr(10) || 'kind: ' || kind || chr(10) || 'category: ' || category || chr(10) || 'location: ' || module || ':' || CAST(lineno AS STRING)
+  || CASE WHEN {_FN} THEN chr(10) || 'signature: def ' || name || '(self)' ELSE '' END || CASE WHEN {_SIGNALS} <> '' THEN chr(10) || 'detector signals:' || chr(10) || '  - ' || replace({_SIGNALS}, '; ', chr(10) || '  - ') ELSE '' END AS text FROM points""")
+def _(spark, d):
+    none = F.array().cast("array<string>")
+    p = _points(spark, d).withColumn("signature", F.when(scoring.is_function(), N.function_signature(F.col("name"), F.array(F.lit("self")))).otherwise("")).withColumn("bases", none).withColumn("decorators", none).withColumn("implement", none)
+    return p.select("seam_ord", facts.fact_text(p).alias("text"))
+
+
+@query("manifest_points", f"{_POINTS} SELECT seam_ord, module || ':' || name AS id, round(score, 4) AS score FROM points")
+def _(spark, d):
+    return _points(spark, d).select("seam_ord", N.point_id(F.col("module"), F.col("name")).alias("id"), F.round("score", 4).alias("score"))
+
+
+@query("ids_in_both", f"{ctes('v_points')} SELECT DISTINCT id FROM v_points WHERE side = 1 INTERSECT SELECT DISTINCT id FROM v_points WHERE side = 2")
+def _(spark, d):
+    old, new = _sides(spark, d)
+    return old.select("id").intersect(new.select("id"))
+
+
+@query("version_guard", """WITH want AS (SELECT n_name AS target, CAST(n_regionkey AS STRING) AS version FROM nation), have AS (SELECT n_name AS target, CAST(CASE WHEN n_nationkey % 3 = 0 THEN n_regionkey + 1 ELSE n_regionkey END AS STRING) AS version FROM nation WHERE n_nationkey % 7 <> 0)
+  SELECT target, version FROM want ANTI JOIN have USING (target, version)""")
+def _(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    want = n.select(F.col("n_name").alias("target"), F.col("n_regionkey").cast("string").alias("version"), F.lit("x").alias("id"))
+    have = n.filter("n_nationkey % 7 <> 0").select(F.col("n_name").alias("target"), F.when(F.col("n_nationkey") % 3 == 0, F.col("n_regionkey") + 1).otherwise(F.col("n_regionkey")).cast("string").alias("version"))
+    return snapshots.pinned(want, have)[1]
+
+
+@query("verification_tally", f"""{ctes('v_attempts')} SELECT CASE WHEN n > 3 THEN 'SKIP' WHEN ok THEN 'PASS' ELSE 'FAIL' END AS verdict, count(*) AS n FROM v_attempts GROUP BY 1""")
+def _(spark, d):
+    return validate.tally(view(spark, d, "v_attempts").select("ok", F.when(F.col("n") > 3, "skipped").otherwise("importable_callable").alias("method")))
+
+
+@query("preview_counts", f"""{_POINTS} SELECT count(*) FILTER (score >= CAST(0.5 AS DOUBLE)) AS at_threshold, count(*) AS n_points, count(DISTINCT module) AS n_modules FROM points""")
+def _(spark, d):
+    return _points(spark, d).agg(F.count_if(F.col("score") >= 0.5).alias("at_threshold"), F.count(F.lit(1)).alias("n_points"), F.countDistinct("module").alias("n_modules"))
+
+
+@query("positional_zip", f"""{_POINTS}, v AS (SELECT o_orderkey AS seam_ord, o_orderstatus = 'F' AS ok, o_orderpriority AS detail FROM orders) SELECT p.seam_ord, p.name, v.detail AS reason FROM points p JOIN v ON v.seam_ord = p.seam_ord WHERE NOT v.ok""")
+def _(spark, d):
+    v = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("seam_ord"), (F.col("o_orderstatus") == "F").alias("ok"), F.col("o_orderpriority").alias("reason"))
+    return _points(spark, d).join(v, "seam_ord").filter(~F.col("ok")).select("seam_ord", "name", "reason")
+
+
+@query("host_semi_join", f"""{ctes('v_names')}, b AS (SELECT ord, 'lib.' || p_type || CASE WHEN ord % 2 = 0 THEN '[int]' ELSE '' END AS base FROM v_names), h AS (SELECT DISTINCT p_type AS symbol FROM v_names WHERE p_type LIKE 'S%')
+  SELECT ord, trim(string_split(string_split(base, '.')[-1], '[')[1]) AS symbol FROM b WHERE trim(string_split(string_split(base, '.')[-1], '[')[1]) IN (SELECT symbol FROM h)""")
+def _(spark, d):
+    names = view(spark, d, "v_names")
+    base = F.concat(F.lit("lib."), F.col("p_type"), F.when(F.col("ord") % 2 == 0, "[int]").otherwise(""))
+    host = names.filter(F.col("p_type").startswith("S")).select(F.col("p_type").alias("symbol")).distinct()
+    return names.select("ord", N.bare(base).alias("symbol")).join(host, "symbol", "left_semi").select("ord", "symbol")
+
+
+@query("in_scope", f"{ctes('v_sinks')} SELECT ord, id, lineno FROM v_sinks WHERE category IN ('process', 'dynamic_load')")
+def _(spark, d):
+    return view(spark, d, "v_sinks").filter(F.col("category").isin("process", "dynamic_load")).select("ord", "id", "lineno")
+
+
+@query("qualnames", r"""SELECT page_id, array_to_string(list_filter(string_split(regexp_replace(p, '\.[^./]*$', ''), '/'), lambda x: x <> '__init__'), '.') AS python, regexp_replace(p, '\.[^./]*$', '') AS slash FROM (
+  SELECT page_id, split_part(url, '/', 3) || '/' || split_part(url, '/', 4) || CASE WHEN page_id % 2 = 0 THEN '/__init__.py' ELSE '/mod.py' END AS p FROM pages)""")
+def _(spark, d):
+    p = F.concat(F.split_part("url", F.lit("/"), F.lit(3)), F.lit("/"), F.split_part("url", F.lit("/"), F.lit(4)), F.when(F.col("page_id") % 2 == 0, "/__init__.py").otherwise("/mod.py"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", N.qualname(p).alias("python"), N.qualname(p, "slash").alias("slash"))
