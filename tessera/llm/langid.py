@@ -32,7 +32,7 @@ BLOCK_CHARS = 4_000_000
 SHARPNESS = 12.0
 HOLD_OUT = 5
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[A-Za-z]")
 _OTHERS = re.compile(r"[\W\d_]+")
 _MODELS: dict[tuple, "Model"] = {}
 
@@ -42,6 +42,10 @@ def fold(text: str) -> str:
     return _OTHERS.sub(" ", text.lower())
 
 
+def has_letter(text: str) -> bool:
+    return bool(_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 class SuffixAutomaton:
     """Transitions of the minimal automaton of all substrings of a text."""
 
@@ -153,7 +157,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         plain = [fold(t) if t else "" for t in texts]
-        known = [bool(self.langs) and bool(_LETTER.search(t)) for t in plain]
+        known = [bool(self.langs) and has_letter(t) for t in plain]
         per = self.phrases(plain) / self.rate / np.maximum(1, np.array([len(t) for t in plain], np.int64))[:, None] if self.langs else np.zeros((len(plain), 1))
         best = per.argmin(1)  # of equal ones the first language by name
         weight = np.exp(-SHARPNESS * (per - per.min(1, keepdims=True)))
