@@ -10,7 +10,7 @@ HOOK_PARTS = "register unregister add_ on_ hook subscribe listen connect emit di
 #: Hook parts whose functions are called back; the others register something.
 CALLED_PARTS = "on_ hook emit dispatch listen".split()
 #: Case-sensitive endings of class names. No one is an ending of another, so at most one fits.
-ROLE_ENDINGS = "Plugin Hook Extension Handler Listener Middleware Backend Provider Adapter Driver Strategy Base Component Service Controller Module Directive Store Reducer".split()
+ROLE_ENDINGS = "Adapter Backend Base Component Controller Directive Driver Extension Handler Hook Listener Middleware Module Plugin Provider Reducer Service Store Strategy".split()
 #: Parts of decorators that register the function.
 DECORATOR_PARTS = "register hook on_ subscribe plugin command route listener".split()
 
