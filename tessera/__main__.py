@@ -14,9 +14,10 @@ from tessera.operators import diff, scoring
 from tessera.plans import detect, docs
 from tessera.session import local_session
 from tessera.sources import config_scan, java_source, language, snapshots, typescript_source, walk
+from tessera.sources.walk import Paths
 
 
-def points_of(spark: SparkSession, root: str, lang: str, min_score: float, exclude: tuple[str, ...] = ()) -> DataFrame:
+def points_of(spark: SparkSession, root: str, lang: str, min_score: float, exclude: Paths = ()) -> DataFrame:
     m = language(lang)(spark, root, exclude).cache()
     return scoring.points(detect.seams(m) if lang == "python" else detect.declared_seams(m), min_score)
 

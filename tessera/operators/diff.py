@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sinks import rank_of
+from .sinks import SEVERITY_RANK, rank_of
 
 KEY = ["id", "module", "call"]
 FIELDS = ["signature", "implement", "kind", "category"]
-LEVELS = {"high": 0, "medium": 1, "low": 2}
 
 
 def surface_diff(base: DataFrame, new: DataFrame) -> DataFrame:
@@ -27,7 +26,7 @@ def at_or_above(changes: DataFrame, threshold: str) -> DataFrame:
     """Introduced changes of at least a severity; 'none' lets nothing through."""
     if threshold == "none":
         return changes.limit(0)
-    return changes.filter((F.col("direction") == "introduced") & (rank_of(F.col("severity")) <= LEVELS[threshold]))
+    return changes.filter((F.col("direction") == "introduced") & (rank_of(F.col("severity")) <= SEVERITY_RANK[threshold]))
 
 
 def last_by_id(points: DataFrame, ord_col: str = "ord") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SEVERITY_RANK = {"high": 0, "medium": 1, "low": 2}
+SEVERITY_RANK = {level: r for r, level in enumerate("high medium low".split())}
 _H, _M, _L = "high", "medium", "low"
 
 

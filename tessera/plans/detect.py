@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph, scoring, sinks
 from tessera.sources import python_source
+from tessera.sources.walk import Paths
 
 
 def _table(modules: DataFrame, column: str) -> DataFrame:
@@ -48,7 +49,7 @@ def edges(modules: DataFrame) -> DataFrame:
     return graph.dependencies(graph.resolve_imports(imports, modules))
 
 
-def scan(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+def scan(spark: SparkSession, root: str, exclude: Paths = ()) -> DataFrame:
     """Parsed modules of a Python tree, kept for the lenses that share them."""
     return python_source.modules(spark, root, exclude).cache()
 

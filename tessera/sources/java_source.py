@@ -10,6 +10,7 @@ from tessera.operators import sinks
 
 from . import walk
 from .lexer import Token, angle, closing, join, split, tokens, unquote
+from .walk import Paths
 
 ENDINGS = (".java",)
 _KINDS = frozenset("class interface enum record".split())
@@ -106,7 +107,7 @@ def parse_module(path: str, text: str) -> dict:
     return {"path": path, "qualname": path.rpartition(".")[0].replace("/", "."), "parse_error": None, "declarations": decls, "calls": calls, "types": types, "imports": imports}
 
 
-def modules(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+def modules(spark: SparkSession, root: str, exclude: Paths = ()) -> DataFrame:
     return walk.parse(walk.paths(spark, root, ENDINGS, exclude), root, parse_module, SCHEMA, DDL)
 
 

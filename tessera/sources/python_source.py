@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import walk
+from .walk import Paths
 
 ENDINGS = (".py",)
 #: Calls that import at run time, by the last part of the called name.
@@ -39,12 +40,13 @@ def qualname(path: str) -> str:
 
 def dotted(node: ast.AST) -> str:
     """a.b.c of names and attributes; empty for anything else, and an attribute of anything else is its own name."""
+    parts: list[str] = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
     if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        left = dotted(node.value)
-        return f"{left}.{node.attr}" if left else node.attr
-    return ""
+        parts.append(node.id)
+    return ".".join(reversed(parts))
 
 
 def _unfinished(fn: ast.AST) -> bool:
@@ -116,7 +118,7 @@ def parse_module(path: str, text: str) -> dict:
     return {"path": path, "qualname": qualname(path), "parse_error": None, "all_exports": exports, "imports": imports, "dynamic_imports": dynamic, "functions": collapse(functions), "classes": classes, "calls": calls}
 
 
-def modules(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+def modules(spark: SparkSession, root: str, exclude: Paths = ()) -> DataFrame:
     """One row per Python file of a tree; a file that can't be parsed has parse_error, and its name all the same."""
     return walk.parse(walk.paths(spark, root, ENDINGS, exclude), root, _with_name, SCHEMA, DDL)
 

@@ -10,8 +10,9 @@ from tessera.operators import sinks
 
 from . import walk
 from .lexer import Token, angle, closing, join, split, tokens, unquote
+from .walk import Paths
 
-ENDINGS = (".ts", ".mts", ".cts", ".tsx", ".js", ".mjs", ".cjs", ".jsx")
+ENDINGS = tuple(f".{m}{kind}" for kind in ("ts", "js") for m in ("", "m", "c")) + (".tsx", ".jsx")
 DECLARATIONS = (".d.ts", ".d.mts", ".d.cts")
 _KEYWORDS = frozenset("if for while switch catch function return typeof await of in new delete void super import case do else throw yield".split())
 
@@ -143,7 +144,7 @@ def _exports(ts: list[Token], i: int) -> set[str]:
     return set()
 
 
-def modules(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+def modules(spark: SparkSession, root: str, exclude: Paths = ()) -> DataFrame:
     files = walk.paths(spark, root, ENDINGS, exclude)
     for e in DECLARATIONS:
         files = files.filter(~F.col("path").endswith(e))

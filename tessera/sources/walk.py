@@ -16,11 +16,12 @@ from tessera.session import ship
 
 from .config_scan import SKIPPED
 
+Paths = tuple[str, ...]
 #: Paths that one parsing task gets.
 PATHS_PER_TASK = 64
 
 
-def walk(root: str, endings: tuple[str, ...], exclude: tuple[str, ...] = ()) -> list[str]:
+def walk(root: str, endings: tuple[str, ...], exclude: Paths = ()) -> list[str]:
     """Relative paths of the files with one of the endings (case counts), sorted per folder; skipped and excluded folders aren't entered."""
     real = lambda p: os.path.normcase(os.path.realpath(p))
     out, off = [], {real(p) for p in exclude}
@@ -30,7 +31,7 @@ def walk(root: str, endings: tuple[str, ...], exclude: tuple[str, ...] = ()) ->
     return out
 
 
-def paths(spark: SparkSession, root: str, endings: tuple[str, ...], exclude: tuple[str, ...] = ()) -> DataFrame:
+def paths(spark: SparkSession, root: str, endings: tuple[str, ...], exclude: Paths = ()) -> DataFrame:
     """(path) relative to root."""
     found = walk(root, endings, exclude)
     df = spark.createDataFrame([(p,) for p in found], "path string")

@@ -48,7 +48,7 @@ def test_band_edge_is_double(spark):
 
 
 def test_tie_bounds_of_known_scores(spark):
-    df = spark.createDataFrame([(i, s) for i, s in enumerate([1.0, 1.0, 1.0, 0.8, 0.8, 0.1])], "i int, score double")
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([1.0] * 3 + [0.8] * 2 + [0.1])], "i int, score double")
     got = {r.i: (r.best, r.worst) for r in ranking.tie_bounds(df).collect()}
     assert [got[i] for i in (0, 2, 3, 5)] == [(1, 3), (1, 3), (4, 5), (6, 6)]
 
