@@ -33,6 +33,8 @@ LOG_ODDS = 1.0
 RIDGE = 2e-4
 STEPS = 400
 PREFIXES = (3, 4, 5, 6, 7)
+MIN_TEXTS = 3
+BUCKETS = 1 << 22
 MEMO_WORDS = 400_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -72,13 +74,20 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - np.array(self.thresholds)[None, :], -40, 40)))
 
 
-def features(texts: list[Counter], toxic: np.ndarray) -> list[str]:
+def features(texts: list[str], toxic: np.ndarray) -> list[str]:
     """Features that tell toxic texts apart, by how many of either kind hold them; at most FEATURES, the strongest first.
 
-    Of a word and its prefixes only the one that tells most is kept, of about equal ones the longest."""
+    Of a word and its prefixes only the one that tells most is kept, of about equal ones the longest. What fewer than MIN_TEXTS texts hold is left out; to
+    save memory a first pass over the texts counts by hash, and a second by name only what the first leaves.
+    """
+    seen = np.zeros(BUCKETS, np.int32)
+    bucket = lambda p: hash(p) & (BUCKETS - 1)
+    for t in texts:
+        seen[list({bucket(p) for w in words(t) for p in parts(w)})] += 1
+    often = (seen >= MIN_TEXTS).tobytes()
     have = (Counter(), Counter())
-    for x, y in zip(texts, toxic):
-        have[int(y)].update(x.keys())
+    for t, y in zip(texts, toxic):
+        have[int(y)].update({p for w in words(t) for p in parts(w) if often[bucket(p)]})
     n = [max(1, int((~toxic).sum())), max(1, int(toxic.sum()))]
     scored = {}
     for f in have[0].keys() | have[1].keys():
@@ -99,20 +108,20 @@ def features(texts: list[Counter], toxic: np.ndarray) -> list[str]:
     return kept[:FEATURES]
 
 
-def fit(texts: list[str], grades: list[int] | np.ndarray, steps: int = STEPS, ridge: float = RIDGE) -> Ordinal:
+def fit(texts: list[str], grades: list[int] | np.ndarray, names: list[str] | None = None, steps: int = STEPS, ridge: float = RIDGE) -> Ordinal:
     """Maximum likelihood with a ridge, by Adam. Grades are whole numbers from 0; with fewer than two of them nothing exceeds 0."""
     y = np.asarray(grades, np.int64)
     top = int(y.max()) if len(y) else 0
     if top < 1 or y.min() == top:
         return Ordinal({}, (40.0,))
-    counts = [Counter(p for w in words(t) for p in parts(w)) for t in texts]
-    names = features(counts, y > 0)
+    names = features(texts, y > 0) if names is None else names
     column = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(texts), len(names)), np.float32)
-    for r, c in enumerate(counts):
-        for f, n in c.items():
-            if f in column:
-                x[r, column[f]] = n
+    for r, t in enumerate(texts):
+        for w in words(t):
+            for p in parts(w):
+                if p in column:
+                    x[r, column[p]] += 1
     weight = np.zeros(len(names), np.float32)
     first, gaps = 0.0, np.zeros(top - 1)
     each = len(y) / (top + 1) / np.maximum(1, np.bincount(y, minlength=top + 1))[y]  # grades weigh alike
@@ -152,14 +161,13 @@ def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
     return float(cuts[np.lexsort((-gaps, errors.round(9)))[0]])
 
 
-def grade(texts: list[str], toxic: list[int]) -> list[int]:
-    """Grades 0, 1 and 2 from labels 0 and 1: toxic texts with more distinct indicator words than the median are 2."""
+def grade(texts: list[str], toxic: list[int], names: list[str]) -> list[int]:
+    """Grades 0, 1 and 2 from labels 0 and 1: toxic texts with more distinct indicator words than the median are 2. names: features, the strongest first."""
     y = np.asarray(toxic) > 0
     if not y.any() or y.all():
         return [int(a) for a in y]
-    sets = [words(t) for t in texts]
-    strong = set(features([Counter(p for w in s for p in parts(w)) for s in sets], y)[:200])
-    many = np.array([sum(any(p in strong for p in parts(w)) for w in s) for s in sets])
+    strong = set(names[:200])
+    many = np.array([sum(any(p in strong for p in parts(w)) for w in words(t)) if a else 0 for t, a in zip(texts, y)])
     middle = np.median(many[y])
     return [int(a) + int(a and b > middle) for a, b in zip(y, many)]
 
@@ -181,7 +189,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label_col
     by_hash = list(seen.values())
     use = [x for x in by_hash if x[1] > 0][:rows] + [x for x in by_hash if x[1] <= 0][:rows]
     texts, y = [t for t, _ in use], [a for _, a in use]
-    return fit(texts, y if any(a > 1 for a in y) else grade(texts, y))
+    names = features(texts, np.asarray(y, np.int64) > 0)
+    return fit(texts, y if any(a > 1 for a in y) else grade(texts, y, names), names)
 
 
 def hash_of(text: str, seed: int = 0) -> int:
