@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .common import TOKENIZERS, as_text, by_row, project
 MARK = "▁"
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 #: A worker remembers at most so many words; beyond it forgets all of them and starts again.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 UNK_PENALTY = 10.0
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _LOADED: dict[str, "Vocabulary"] = {}
@@ -59,8 +60,53 @@ class Vocabulary:
         if min(self.byte_id) < 0:
             raise ValueError("the vocabulary has no byte pieces to fall back on")
         self.unk = low - UNK_PENALTY
-        #: Suffixes of pieces, by which the search for pieces that end at a position stops early.
-        self.tails = {p[k:]: None for p in self.score for k in range(1, len(p))} | self.score
+        self._build()
+
+    def _build(self) -> None:
+        """Aho-Corasick machine over the pieces: follow[state] maps characters to states, found[state] lists (length, score) of the pieces that end
+        there, longest first, and alone[state] tells whether one of them is a single character."""
+        follow: list[dict[str, int]] = [{}]
+        own: list[float | None] = [None]
+        depth = [0]
+        for p, score in self.score.items():
+            at = 0
+            for c in p:
+                to = follow[at].get(c)
+                if to is None:
+                    to = follow[at][c] = len(follow)
+                    follow.append({})
+                    own.append(None)
+                    depth.append(depth[at] + 1)
+                at = to
+            own[at] = score
+        fail = [0] * len(follow)
+        found: list[tuple[tuple[int, float], ...]] = [()] * len(follow)
+        layer = [0]
+        while layer:
+            after = []
+            for at in layer:
+                for c, to in follow[at].items():
+                    if at:
+                        f = fail[at]
+                        while f and c not in follow[f]:
+                            f = fail[f]
+                        fail[to] = follow[f].get(c, 0)
+                    found[to] = (((depth[to], own[to]),) if own[to] is not None else ()) + found[fail[to]]
+                    after.append(to)
+            layer = after
+        self.follow, self.fail, self.found = follow, fail, found
+        self.alone = [bool(x) and x[-1][0] == 1 for x in found]
+
+    def step(self, at: int, c: str) -> int:
+        """The state after a character that follow has no entry for; the entry is added, unless it leads to the root."""
+        f = at
+        while f:
+            f = self.fail[f]
+            to = self.follow[f].get(c)
+            if to is not None:
+                self.follow[at][c] = to
+                return to
+        return 0
 
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
@@ -72,96 +118,72 @@ class Vocabulary:
             _LOADED[path] = cls((sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size()))
         return _LOADED[path]
 
-    def automaton(self):
-        """Aho-Corasick automaton over all pieces, built once."""
-        if not hasattr(self, "_automaton"):
-            import ahocorasick
-
-            a = ahocorasick.Automaton()
-            for p, s in self.score.items():
-                a.add_word(p, (len(p), s))
-            a.make_automaton()
-            self._automaton = a
-        return self._automaton
-
 
 def count_word(v: Vocabulary, word: str) -> int:
-    """Number of pieces of a marked word: the automaton lists the pieces that end at each position, longest first; the dynamic
-    programme carries the best score and the number of pieces only."""
-    n = len(word)
-    best, count = [0.0] * (n + 1), [0] * (n + 1)
-    done = 0  # positions up to here are final
-    last = None  # score of the best candidate for position done + 1
-    hit = single = 0
-    score = 0.0
-
-    def close(upto: int) -> None:
-        """Finish every position below upto, adding the unknown character where no one-character piece ends."""
-        nonlocal done, last, single, hit, score
-        while done < upto:
-            e = done + 1
-            if not single:
-                s = best[done] + v.unk
-                if last is None or s > score:
-                    score, hit = s, count[done] + len(word[done].encode())
-            best[e], count[e] = score, hit
-            done, last, single = e, None, 0
-
-    for end, (size, s) in v.automaton().iter(word):
-        close(end)
-        x = best[end + 1 - size] + s
-        if last is None or x > score:
-            score, hit, last = x, count[end + 1 - size] + 1, True
-        if size == 1:
-            single = 1
-    close(n)
-    return count[n]
+    """Number of pieces of a marked word: the machine lists the pieces that end at each position, longest first; the dynamic programme carries the best
+    score and the number of pieces only."""
+    follow, found, alone, step, unk = v.follow, v.found, v.alone, v.step, v.unk
+    best, count = [0.0], [0]
+    at = e = 0
+    for c in word:
+        to = follow[at].get(c)
+        at = step(at, c) if to is None else to
+        e += 1
+        top = None
+        n = 0
+        for size, s in found[at]:
+            x = best[e - size] + s
+            if top is None or x > top:
+                top, n = x, count[e - size] + 1
+        if not alone[at]:
+            x = best[-1] + unk
+            if top is None or x > top:
+                top, n = x, count[-1] + len(c.encode("utf-8", "surrogatepass"))
+        best.append(top)
+        count.append(n)
+    return count[-1]
 
 
 def encode_words(v: Vocabulary, words: Iterable[str]) -> dict[str, bytes]:
-    """Ids (int32, little endian) of marked words. The sorted words are the paths of a trie in depth-first order; forward scores
-    and back pointers of the prefix shared with the word before are reused."""
+    """Ids (int32, little endian) of marked words. The sorted words are the paths of a trie in depth-first order; states, forward scores and back
+    pointers of the prefix shared with the word before are reused."""
     out: dict[str, bytes] = {}
-    best, back = [0.0], [0]
-    tails, unk, ids = v.tails, v.unk, v.ids
+    follow, found, alone, step, unk, ids = v.follow, v.found, v.alone, v.step, v.unk, v.ids
+    best, back, state = [0.0], [0], [0]  # back: length of the best last piece, 0 for an unknown character
     before = ""
     for w in sorted(words):
-        n, m = len(w), min(len(w), len(before))
-        k = 0
+        k, m = 0, min(len(w), len(before))
         while k < m and w[k] == before[k]:
             k += 1
-        del best[k + 1 :], back[k + 1 :]
-        for e in range(k + 1, n + 1):
-            top, at, single = None, e - 1, False
-            b = e - 1
-            while b >= 0:
-                t = w[b:e]
-                if t not in tails:
-                    break
-                s = tails[t]
-                if s is not None:
-                    if b == e - 1:
-                        single = True
-                    x = best[b] + s
-                    if top is None or x >= top:  # shorter pieces come first here, and the longest wins a tie
-                        top, at = x, b
-                b -= 1
-            if not single:
-                x = best[e - 1] + unk
-                if top is None or x > top:  # the unknown character's start is the last that is visited: it must be better
-                    top, at = x, -1
+        del best[k + 1 :], back[k + 1 :], state[k + 1 :]
+        at, e = state[k], k
+        for c in w[k:]:
+            to = follow[at].get(c)
+            at = step(at, c) if to is None else to
+            e += 1
+            top, size = None, 0
+            for length, s in found[at]:
+                x = best[e - length] + s
+                if top is None or x > top:
+                    top, size = x, length
+            if not alone[at]:
+                x = best[-1] + unk
+                if top is None or x > top:
+                    top, size = x, 0
             best.append(top)
-            back.append(at)
-        e, path = n, []
+            back.append(size)
+            state.append(at)
+        path = []
         while e:
-            b = back[e]
-            if b < 0:
-                path.extend(v.byte_id[x] for x in reversed(w[e - 1].encode()))
-                e -= 1
+            size = back[e]
+            if size:
+                path.append(ids[w[e - size : e]])
+                e -= size
             else:
-                path.append(ids[w[b:e]])
-                e = b
-        out[w] = np.array(path[::-1], "<i4").tobytes()
+                path.extend(v.byte_id[x] for x in reversed(w[e - 1].encode("utf-8", "surrogatepass")))
+                e -= 1
+        path.reverse()
+        out[w] = pack("<%di" % len(path), *path)
         before = w
     return out
 
@@ -171,6 +193,11 @@ def units(text: str) -> list[str]:
     return _UNIT.findall((" " + text).replace(" ", MARK)) if text else []
 
 
+#: Of each file, what this worker has found out about words; kept from task to task.
+_COUNTS: dict[str, "Counts"] = {}
+_CODES: dict[str, dict[str, bytes]] = {}
+
+
 class Counts(dict):
     """Marked word -> number of pieces, found when first asked for."""
 
@@ -194,14 +221,14 @@ def split_marked(text: str) -> list[str]:
 
 
 def token_counts(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_words, n_chars) of every row, in input order and without a shuffle.
+    """(doc_id, n_tokens, n_units, n_chars) of every row, without a shuffle; units are the marked words and line feeds.
 
     Null and empty texts have no tokens; repeated rows are counted each; other columns are ignored; an empty table gives an empty one.
     """
 
     def make():
         v = Vocabulary.load(model)
-        memo = Counts(v)
+        memo = _COUNTS.setdefault(model, Counts(v))
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             tokens, words, chars = [], [], []
@@ -226,7 +253,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
 
     def make():
         v = Vocabulary.load(model)
-        memo: dict[str, bytes] = {}
+        memo = _CODES.setdefault(model, {})
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = as_text(b.column(1))
