@@ -464,6 +464,11 @@ def _(spark, d):
     return crosscheck.unused(view(spark, d, "v_symbol_labels"), view(spark, d, "v_uses").filter("package <= 40"))
 
 
+@query("unused_labels_all", f"{ctes('v_uses', 'v_symbol_labels')} SELECT DISTINCT symbol FROM v_symbol_labels WHERE symbol NOT IN (SELECT symbol FROM v_uses)")
+def _(spark, d):
+    return crosscheck.unused(view(spark, d, "v_symbol_labels"), view(spark, d, "v_uses"))
+
+
 @query("unlabelled_used", f"""{ctes('v_uses', 'v_symbol_labels')}, t AS (SELECT symbol, count(DISTINCT package) AS votes FROM v_uses GROUP BY 1 ORDER BY votes DESC, symbol LIMIT 5)
   SELECT symbol, votes FROM t WHERE symbol NOT IN (SELECT symbol FROM v_symbol_labels)""")
 def _(spark, d):
