@@ -2,8 +2,9 @@
 
 A string of which a byte-pair vocabulary needs many tokens for few characters is not made of words: runs of letters, digits and +/_=- with fewer
 than CHARS_PER_TOKEN characters per token under a tiktoken vocabulary are reported as kind 'token'. Before the test, runs are left out that
-can't be keys or are known to be something else: such as hold no letter or no digit; hexadecimal digests of the usual lengths and UUIDs; and
-identifiers and paths, whose parts between - _ / and = are words or numbers; and runs that touch a base span.
+can't be keys or are known to be something else: such as hold no letter; hexadecimal digests of the usual lengths and UUIDs; and identifiers
+and paths, whose parts between - _ / + and = are letters with up to four digits or numbers, if the letters pass the test by themselves, that is,
+are words; and runs that touch a base span.
 
 Spans are code points, end exclusive.
 """
@@ -33,7 +34,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 _DIGESTS = frozenset((32, 40, 48, 56, 64, 96, 128))
 _HEXRUN = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\Z")
-_PART = re.compile(r"(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)?\Z")
+_PART = re.compile(r"(?:([A-Za-z]+)[0-9]{0,4}|[0-9]+)?\Z")
 _CUT = re.compile(r"[-_/=+]+")
 _ENCODINGS: dict[str, object] = {}
 Span = tuple[str, int, int]
@@ -64,22 +65,28 @@ def base_spans(text: str) -> list[Span]:
     return in_order(out)
 
 
-def known(run: str) -> bool:
-    """Whether a run is a digest, an identifier or a path rather than a random string."""
-    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+def dense(parts: list[str], enc, ratio: float) -> bool:
+    """Whether texts have fewer characters per token than words have, all together."""
+    return sum(map(len, parts)) < ratio * sum(len(enc.encode_ordinary(p)) for p in parts)
+
+
+def known(run: str, enc, ratio: float = CHARS_PER_TOKEN) -> bool:
+    """Whether a run is a number, a digest, an identifier or a path rather than a random string."""
+    if not any(c.isalpha() for c in run):
         return True
     if len(run) in _DIGESTS and _HEXRUN.match(run) or _UUID.match(run):
         return True
-    return all(_PART.match(p) for p in _CUT.split(run))
+    parts = [_PART.match(p) for p in _CUT.split(run)]
+    return all(parts) and not dense([m[1] for m in parts if m[1]], enc, ratio)
 
 
 def token_spans(text: str, base: list[Span], enc, ratio: float = CHARS_PER_TOKEN) -> list[Span]:
     out = []
     for m in _RUN.finditer(text):
         run = m[0]
-        if run.isalpha() or known(run) or any(a < m.end() and m.start() < b for _, a, b in base):
+        if any(a < m.end() and m.start() < b for _, a, b in base):
             continue
-        if len(run) < ratio * len(enc.encode_ordinary(run)):
+        if dense([run], enc, ratio) and not known(run, enc, ratio):
             out.append(("token", *m.span()))
     return out
 
