@@ -7,13 +7,15 @@ as telephone numbers without a country code or spelled-out addresses, are added;
 
 It is trained on the driver by maximum likelihood (semi-Markov forward-backward, stochastic gradient) from a bounded sample: windows of the SAMPLE_TEXTS texts with
 the smallest hash of their id among those with a digit group or at-sign. Gold segments are the base spans of the window and of altered copies of it:
-forms that people write but the patterns miss (labelled with their type), and look-alikes that fail a check (labelled outside).
+forms that people write but the patterns miss (labelled with their type), and look-alikes that fail a check (labelled outside). Every window that
+holds a span is trained on, with an altered copy of each of its spans; of the windows without a span at most EMPTY_WINDOWS of a text, drawn at random.
 
 Spans are code points, end exclusive.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -30,7 +32,8 @@ MAX_TOKENS = 20
 #: Characters around a digit or at-sign that a window holds.
 REACH = 48
 SAMPLE_TEXTS = 300
-WINDOWS = 1_200
+#: Windows without a span that a text gives at most.
+EMPTY_WINDOWS = 20
 EPOCHS = 5
 RATE = 0.02
 RIDGE = 1e-4
@@ -254,6 +257,13 @@ def _gold(win: Window, spans: list[Span]) -> dict[tuple[int, int], int]:
     return out
 
 
+def _within(win: Window, spans: list[Span]) -> list[Span]:
+    """Those of the spans, which are in order, that lie in the window."""
+    lo, hi = win.begin, win.tokens[-1][1] if win.tokens else win.begin
+    first, last = (bisect.bisect_left(spans, x, key=lambda s: s[1]) for x in (lo, hi + 1))
+    return [s for s in spans[first:last] if s[2] <= hi]
+
+
 def _altered(kind: str, s: str, rng: random.Random) -> tuple[str, str | None]:
     """Another way of writing a span, or a look-alike (type None)."""
     d = _digits(s)
@@ -270,17 +280,20 @@ def _altered(kind: str, s: str, rng: random.Random) -> tuple[str, str | None]:
     return rng.choice([(".".join(part[:3]), None), (".".join([*part[:3], str(rng.randint(256, 999))]), None), (".".join([*part, part[0]]), None)])
 
 
-def train(texts: list[str], epochs: int = EPOCHS) -> dict[str, float]:
-    """Weights from texts; deterministic. Without any spans there is nothing to learn and nothing will be found."""
-    rng = random.Random(7)
+def training_data(texts: list[str], rng: random.Random, empty: int = EMPTY_WINDOWS) -> list[tuple[Window, dict[tuple[int, int], int]]]:
+    """Windows with their gold segments: all that hold a span, an altered copy per span, and up to empty ones without a span per text."""
     data: list[tuple[Window, dict]] = []
+    pick = random.Random(8)
     for t in texts:
         base = base_spans(t)
-        for win in windows(t):
-            lo, hi = win.begin, win.tokens[-1][1] if win.tokens else win.begin
-            here = [s for s in base if lo <= s[1] and s[2] <= hi]
+        held = [(win, _within(win, base)) for win in windows(t)]
+        none = [k for k, (_, here) in enumerate(held) if not here]
+        left_out = set(none) - set(pick.sample(none, empty)) if len(none) > empty else set()
+        for k, (win, here) in enumerate(held):
+            if k in left_out:
+                continue
             data.append((win, _gold(win, here)))
-            for kind, a, b in here[:4]:
+            for kind, a, b in here:
                 new, label = _altered(kind, t[a:b], rng)
                 piece = t[max(0, a - REACH) : a] + new + t[b : b + REACH]
                 at = min(a, REACH)
@@ -293,7 +306,12 @@ def train(texts: list[str], epochs: int = EPOCHS) -> dict[str, float]:
                 alt = Window(piece, 0, len(piece))
                 data.append((alt, _gold(alt, spans)))
     rng.shuffle(data)
-    data = data[:WINDOWS]
+    return data
+
+
+def train(texts: list[str], epochs: int = EPOCHS, empty: int = EMPTY_WINDOWS) -> dict[str, float]:
+    """Weights from texts; deterministic. Without any spans there is nothing to learn and nothing will be found."""
+    data = training_data(texts, random.Random(7), empty)
     if not any(g for _, g in data):
         return {}
     w: dict[str, float] = {}
@@ -318,14 +336,14 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text
     return [r[0] for r in d.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(texts).select("text").collect()]
 
 
-def personal_data(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", empty: int = EMPTY_WINDOWS) -> DataFrame:
     """(doc_id, found array<struct<kind, start, end, text, base>>) of every row, without a shuffle; spans by start, then kind.
 
-    weights: of a trained field; without them one is trained on a sample of docs. Null and empty texts hold none; repeated rows are scanned each;
+    weights: of a trained field; without them one is trained on a sample of docs, with up to empty windows of a text that hold no span. Null and empty texts hold none; repeated rows are scanned each;
     other columns are ignored; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
-    trained = train(sample(docs, id_col, text_col)) if weights is None else weights
+    trained = train(sample(docs, id_col, text_col), empty=empty) if weights is None else weights
 
     def make():
         field = Field(trained)
