@@ -1,13 +1,13 @@
 """Operator 9, line dedup: range-partitioned hashes, sorted by document and position, streamed; compressed keep bitmaps instead of text.
 
- 1. One pass over the texts writes a narrow row (hash of the key, doc_id, positions) per document and distinct key of MIN_POINTS or more code
+ 1. One pass over the texts writes a narrow row (hash of the key, doc_id, positions, hash of the text) per document and distinct key of MIN_POINTS or more code
     points: repeats within a document are merged before the shuffle. The hash is XXH3-128.
  2. The rows are range-partitioned by (hash, doc_id) and sorted within partitions. The range covers the document too, so a line that a third of
     the documents share spans as many partitions as it needs.
  3. Each partition streams its rows: the first document of a hash keeps its lines, all later ones drop theirs. Only a partition's first hash may
     have begun in an earlier one; its first row is handed on unresolved, with the partition's number and last hash. Those few rows (one per
-    partition) are resolved by a window over them.
- 4. Dropped positions per document become a bitmap of kept lines, compressed. Where the text is wanted, documents are joined with their bitmaps
+    partition, and its repeats of a doc_id) are resolved by a join among them.
+ 4. Dropped positions per document and text become a bitmap of kept lines, compressed. Where the text is wanted, documents are joined with their bitmaps
     (broadcast if few, else by shuffle with the bitmaps hashed) and cut.
 """
 
@@ -37,13 +37,21 @@ def key_of(line: bytes) -> bytes | None:
     return None
 
 
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, t): with the hash of each text, which tells rows apart that share a doc_id."""
+    return project(docs, id_col, text_col).withColumn("t", F.xxhash64("text"))
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """(h, l, doc_id, at array<int>): the two halves of the hash of each distinct key of a document, and the positions of its lines."""
+    """(h, l, doc_id, at array<int>, t): the two halves of the hash of each distinct key of a document, the positions of its lines, and its text's hash.
+
+    docs: (doc_id, text, t).
+    """
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            hashes, ids, flat, sizes = [], [], [], [0]
-            for d, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
+            hashes, ids, of, flat, sizes = [], [], [], [], [0]
+            for d, t, own in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist()):
                 if d is None:
                     continue
                 here: dict[bytes, list[int]] = {}
@@ -53,24 +61,25 @@ def lines(docs: DataFrame) -> DataFrame:
                         here.setdefault(xxhash.xxh3_128_digest(k), []).append(i)
                 hashes += here
                 ids += [d] * len(here)
+                of += [own] * len(here)
                 for at in here.values():
                     flat += at
                     sizes.append(len(flat))
             h = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
             at = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), at], ["h", "l", "doc_id", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), at, pa.array(of, pa.int64())], ["h", "l", "doc_id", "at", "t"])
 
         return f
 
-    return by_row(docs, "h long, l long, doc_id long, at array<int>", make)
+    return by_row(docs, "h long, l long, doc_id long, at array<int>, t long", make)
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows to drop, of rows sorted by hash and document. The partition's first row comes with part, its number, and its hash; the last row is
-    repeated with its hash alone, so that the next partition's first row can be resolved."""
+    """Rows to drop, of rows sorted by hash and document. The partition's first row, and others of its hash and document, come with part, its number,
+    and the hash; the last row is repeated with its hash alone, so that the next partition's first row can be resolved."""
     part = TaskContext.get().partitionId()
     last: tuple[int, int, int] | None = None  # hash, and the document that keeps it
-    schema = pa.schema([("part", pa.int32()), ("first", pa.bool_()), ("h", pa.int64()), ("l", pa.int64()), ("doc_id", pa.int64()), ("at", pa.list_(pa.int32())), ("owner", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("first", pa.bool_()), ("h", pa.int64()), ("l", pa.int64()), ("doc_id", pa.int64()), ("at", pa.list_(pa.int32())), ("t", pa.int64()), ("owner", pa.int64())])
     for b in batches:
         if not b.num_rows:
             continue
@@ -82,33 +91,32 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
         owner = np.where(start >= 0, d[np.maximum(start, 0)], last[2] if last else 0)
         drop = d != owner
-        begins = last is None
-        if begins:
-            drop[0] = True
+        if last is None:
+            head = (h[0], l[0], d[0])
+        begins = (h == head[0]) & (l == head[1]) & (d == head[2])
+        drop |= begins
         at = np.flatnonzero(drop)
         if len(at):
-            mark = np.zeros(len(at), bool)
-            mark[0] = begins
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part, np.int32)), pa.array(mark), *(pa.array(x[at]) for x in (h, l, d)), b.column(3).take(pa.array(at)), pa.array(owner[at])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part, np.int32)), pa.array(begins[at]), *(pa.array(x[at]) for x in (h, l, d)), b.column(3).take(pa.array(at)), b.column(4).take(pa.array(at)), pa.array(owner[at])], schema=schema)
         last = (int(h[-1]), int(l[-1]), int(owner[-1]))
     if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.bool_()), pa.array([last[0]]), pa.array([last[1]]), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int32())), pa.array([last[2]])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.bool_()), pa.array([last[0]]), pa.array([last[1]]), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int32())), pa.array([None], pa.int64()), pa.array([last[2]])], schema=schema)
 
 
 def drops(docs: DataFrame) -> DataFrame:
-    """(doc_id, at array<int>): positions of the lines that each document loses, for documents that lose any."""
+    """(doc_id, t, at array<int>): positions of the lines that each document's text of hash t loses, for texts that lose any. docs: (doc_id, text, t)."""
     rows = materialise(lines(docs), "op9-lines")
     ranged = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "l", "doc_id").sortWithinPartitions("h", "l", "doc_id")
-    out = materialise(ranged.mapInArrow(_stream, "part int, first boolean, h long, l long, doc_id long, at array<int>, owner long"), "op9-streamed")
-    # One first and one last row per partition. A partition's hash may run through several: its owner is that of the first of them.
-    ends = out.filter("first IS NULL OR first").select("part", "h", "l", "doc_id", "at", "owner", F.coalesce("first", F.lit(False)).alias("first"))
+    out = materialise(ranged.mapInArrow(_stream, "part int, first boolean, h long, l long, doc_id long, at array<int>, t long, owner long"), "op9-streamed")
+    # One first row (more if rows repeat its doc_id) and one last row per partition. A partition's hash may run through several: its owner is that of the first of them.
+    ends = out.filter("first IS NULL OR first").select("part", "h", "l", "doc_id", "at", "t", "owner", F.coalesce("first", F.lit(False)).alias("first"))
     heads, tails = ends.filter("first"), ends.filter("NOT first").select("h", "l", F.col("part").alias("of"))
     # the head drops if an earlier partition ends in its hash
     before = tails.groupBy("h", "l").agg(F.min("of").alias("of"))
     continued = heads.join(F.broadcast(before), ["h", "l"]).filter("of < part")
-    sure = out.filter("first = false").select("doc_id", "at")
-    both = sure.unionByName(continued.select("doc_id", "at"))
-    return both.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
+    sure = out.filter("first = false").select("doc_id", "t", "at")
+    both = sure.unionByName(continued.select("doc_id", "t", "at"))
+    return both.groupBy("doc_id", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
 
 
 def pack(at: list[int]) -> bytes:
@@ -129,29 +137,29 @@ def unpack(bitmap: bytes | None, n: int) -> np.ndarray:
 
 
 def bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_dropped, last, keep binary) of each document that loses lines: a compressed bitmap of the lines up to position last."""
+    """(doc_id, t, n_dropped, last, keep binary) of each document's text that loses lines: its hash, and a compressed bitmap of the lines up to position last."""
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            at = b.column(1).to_pylist()
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, at), pa.int64()), pa.array([x[-1] for x in at], pa.int32()), pa.array(map(pack, at), pa.binary())], ["doc_id", "n_dropped", "last", "keep"])
+            at = b.column(2).to_pylist()
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, at), pa.int64()), pa.array([x[-1] for x in at], pa.int32()), pa.array(map(pack, at), pa.binary())], ["doc_id", "t", "n_dropped", "last", "keep"])
 
         return f
 
-    return by_row(drops(project(docs, id_col, text_col)), "doc_id long, n_dropped long, last int, keep binary", make)
+    return by_row(drops(_hashed(docs, id_col, text_col)), "doc_id long, t long, n_dropped long, last int, keep binary", make)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256[, text]) of every row.
 
     Keys of MIN_POINTS or more code points found in two documents or more lose all their lines but those of the smallest doc_id holding them.
-    A null or empty text is one empty line. Rows that repeat a doc_id are one document: they are taken to be repeats of the same text, and lose the
-    same lines. A row with a null id holds no key and loses nothing. Other columns are ignored; an empty table gives an empty one.
+    A null or empty text is one empty line. Rows that repeat a doc_id are one document: none makes another lose lines, and each loses those
+    of its own text that a smaller doc_id holds. A row with a null id holds no key and loses nothing. Other columns are ignored; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
-    src = project(docs, id_col, text_col)
-    maps = materialise(bitmaps(docs, id_col, text_col).select("doc_id", "last", "keep"), "op9-bitmaps")
-    joined = src.join(F.broadcast(maps) if small(maps) else maps.hint("shuffle_hash"), "doc_id", "left")
+    src = _hashed(docs, id_col, text_col)
+    maps = materialise(bitmaps(docs, id_col, text_col).select("doc_id", "t", "last", "keep"), "op9-bitmaps")
+    joined = src.join(F.broadcast(maps) if small(maps) else maps.hint("shuffle_hash"), ["doc_id", "t"], "left")
 
     def make():
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
