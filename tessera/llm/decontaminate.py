@@ -11,7 +11,8 @@ The search is exact and goes in three steps, each of which only leaves out what
  2. WAND over the rest: postings lists ordered by item, with the largest impact of each run of POSTINGS postings. Cursors move to the pivot;
     a pivot whose block maxima stay below the threshold is jumped over.
  3. Retrieved items are verified on the text around the passage: the question part and the answer part of the item (columns, or the first
-    two thirds and the rest of the words) must each have VERIFY of their 3-word sequences there.
+    two thirds and the rest of the words) must each have VERIFY of their 3-word sequences there. One changed word takes up to three of those,
+    so a part of two to SHORT - 1 words is also held if it stands there with one word changed, missing or added.
 
 The index goes to every task, in pieces of at most ITEM_ROWS items and ITEM_CHARS characters; a larger benchmark is searched piece by piece.
 The corpus is read once per piece and nothing is shuffled.
@@ -38,6 +39,8 @@ BLOCK = 64
 RETRIEVE = 0.5
 VERIFY = 0.5
 SHINGLE = 3
+#: From so many words on a part with one changed word keeps half of its sequences.
+SHORT = 8
 K1, B = 1.2, 0.75
 POSTINGS = 32
 GROUPS = 256
@@ -59,6 +62,34 @@ def _shingles(w: list[str]) -> set[tuple[str, ...]]:
     return set(zip(*(w[k:] for k in range(n)))) if n else set()
 
 
+class Part:
+    """The question or the answer of an item."""
+
+    def __init__(self, w: list[str]):
+        self.shingles = _shingles(w)
+        self.short = w if 2 <= len(w) < SHORT else []
+
+    def share(self, near: list[str], here: dict[int, set]) -> float:
+        """Share of the part that is there, in words near and their sequences."""
+        share = _share(self.shingles, here)
+        return max(share, _in_order(self.short, near)) if self.short and share < VERIFY else share
+
+
+def _in_order(part: list[str], near: list[str]) -> float:
+    """Share of a part's words that stand in order in neighbouring words, if one at most is changed, missing or added; else 0."""
+    n, known, best = len(part), set(part), 0
+    for k in range(len(near)):
+        if near[k] in known or k + 1 < len(near) and near[k + 1] in known:
+            row = [0] * (n + 1)  # longest common subsequence with the part's first words
+            for i, x in enumerate(near[k : k + n + 1]):
+                old = row[:]
+                for j in range(n):
+                    row[j + 1] = old[j] + 1 if part[j] == x else max(old[j + 1], row[j])
+                if i < n or row[n] == n:
+                    best = max(best, row[n])
+    return best / n if best >= n - 1 else 0.0
+
+
 @dataclass
 class Verified:
     item: int
@@ -72,12 +103,12 @@ class Index:
 
     def __init__(self, items: tuple[Item, ...]):
         self.items = items
-        self.parts: list[tuple[set, set]] = []
+        self.parts: list[tuple[Part, Part]] = []
         self.length: list[int] = []
         entries: list[tuple[int, Counter]] = []  # item's place, words
         for i, (_, q, a) in enumerate(items):
             qw, aw = words(q), words(a)
-            self.parts.append((_shingles(qw), _shingles(aw)))
+            self.parts.append((Part(qw), Part(aw)))
             w = qw + aw
             self.length.append(len(w))
             for k in range(0, max(1, len(w) - BLOCK // 2), BLOCK // 2) if len(w) > BLOCK else [0]:
@@ -215,8 +246,9 @@ class Index:
                 old = got[i].get(o)
                 if old is None or score > old.score:
                     reach = max(BLOCK, self.length[o])
-                    here = _shingles_near(split[i][max(0, at - reach) : at + 2 * BLOCK + reach])
-                    q, a = (_share(p, here) for p in self.parts[o])
+                    near = split[i][max(0, at - reach) : at + 2 * BLOCK + reach]
+                    here = _shingles_near(near)
+                    q, a = (p.share(near, here) for p in self.parts[o])
                     if q >= VERIFY and a >= VERIFY:
                         got[i][o] = Verified(o, score, q, a)
         return [[x[o] for o in sorted(x)] for x in got]
