@@ -50,7 +50,7 @@ ITEM_ROWS = 2_000
 ITEM_CHARS = 400_000
 _WORD = re.compile(r"\w+")
 _INDEXES: dict[tuple, "Index"] = {}
-Item = tuple[int, str, str]  # id, question, answer
+Item = tuple[int | None, str, str]  # id, question, answer
 
 
 def words(text: str) -> list[str]:
@@ -267,14 +267,14 @@ def _share(part: set, here: dict[int, set]) -> float:
 
 
 def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", question_col: str | None = None, answer_col: str | None = None) -> Iterator[tuple[Item, ...]]:
-    """Pieces of the benchmark, each bounded in rows and characters. Rows with a null id or without words are left out."""
+    """Pieces of the benchmark, each bounded in rows and characters. Rows without words are left out, such without an id aren't."""
     if question_col and answer_col:
         cols = [F.col(question_col), F.col(answer_col)]
     else:
         cols = [F.col(text_col), F.lit(None).cast("string")]
     piece: list[Item] = []
     chars = 0
-    for i, q, a in benchmark.select(F.col(id_col).cast("long"), *cols).filter(F.col(id_col).isNotNull()).orderBy(id_col).toLocalIterator():
+    for i, q, a in benchmark.select(F.col(id_col).cast("long"), *cols).orderBy(id_col, cols[0]).toLocalIterator():
         if a is None:
             w = words(q or "")
             k = -(-2 * len(w) // 3)
@@ -313,7 +313,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row per document and test item that it holds, with its best score.
 
     Documents that hold none have no row. Null and empty texts hold none; a repeated document repeats its rows; items with equal texts are
-    each reported; other columns are ignored; an empty table on either side gives an empty result.
+    each reported, and one without an id with a null item_id; other columns are ignored; an empty table on either side gives an empty result.
     """
     ship(docs.sparkSession)
     parts = [search(docs, p) for p in items_of(benchmark, **columns)] or [search(docs, ())]
