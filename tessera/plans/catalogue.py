@@ -208,11 +208,20 @@ def _(spark, d):
   UNION ALL SELECT CASE WHEN abstract THEN 'abstract_class' ELSE 'class' END, 'm' || CAST(module_ord AS STRING), name, module_ord, 1, idx FROM c
   UNION ALL SELECT 'dynamic_import', 'm' || CAST(module_ord AS STRING), name, module_ord, 2, idx FROM e""")
 def _(spark, d):
+    return _flattened(spark, d, "l_linenumber = 1")
+
+
+@query("seam_flatten_all", ORACLE_SQL["seam_flatten"].replace(" WHERE l_linenumber = 1", ""))
+def _(spark, d):
+    return _flattened(spark, d, "true")
+
+
+def _flattened(spark: SparkSession, d: str, classes: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
     text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     none = F.array().cast("array<string>")
     f = read("orders").select(F.col("o_custkey").alias("module_ord"), F.col("o_orderkey").alias("idx"), text("f", "o_orderkey").alias("name"), (F.col("o_orderstatus") != "P").alias("visible"), none.alias("decorators"))
-    c = read("lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") % 1500).alias("module_ord"), F.col("l_partkey").alias("idx"), text("C", "l_partkey").alias("name"), F.lit(True).alias("visible"), (F.col("l_tax") > 0.04).alias("is_abstract"), none.alias("bases"), F.lit(False).alias("has_override_point"))
+    c = read("lineitem").filter(classes).select((F.col("l_orderkey") % 1500).alias("module_ord"), F.col("l_partkey").alias("idx"), text("C", "l_partkey").alias("name"), F.lit(True).alias("visible"), (F.col("l_tax") > 0.04).alias("is_abstract"), none.alias("bases"), F.lit(False).alias("has_override_point"))
     e = read("events").select(F.col("user_id").alias("module_ord"), F.col("event_id").alias("idx"), F.col("event_type").alias("kind"), F.lit(None).cast("string").alias("argument"))
     more = lambda t: t.withColumn("module", text("m", "module_ord")).withColumn("lineno", F.lit(1)).withColumn("reexported", F.lit(False))
     return graph.flatten_seams(more(f), more(c), more(e)).select("kind", "module", "name", "seam_ord.module_ord", "seam_ord.grp", "seam_ord.idx")
