@@ -79,6 +79,9 @@ VIEWS = {
     "v_names": "SELECT p_partkey AS ord, p_name, p_brand, p_type FROM part",
 }
 
+# with an ordinal: lines that are equal in it, their module and their number are equal in all
+VIEWS["v_seams_all"] = VIEWS["v_seams_big"].replace("l_partkey AS seam_ord", "l_partkey * 100000 + l_suppkey AS seam_ord")
+
 TABLES = "part lineitem events documents labels pages customer orders conversations".split()
 
 

@@ -62,6 +62,7 @@ _CATEGORY = f"""CASE WHEN {_DYN} THEN CASE WHEN name = '__import__' THEN 'reflec
   WHEN coalesce({_HOOK} IN ({_list(N.CALLED_PARTS)[1:-1]}), false) THEN 'hook' WHEN {_HOOK} IS NOT NULL OR {_DECO} IS NOT NULL THEN 'registration' ELSE 'api' END"""
 _POINTS = ctes("v_seams") + f",\npoints AS (SELECT *, {_SCORE} AS score, {_CATEGORY} AS category FROM v_seams)"
 _BIG = ctes("v_seams_big") + f",\npoints AS (SELECT *, {_SCORE} AS score, {_CATEGORY} AS category FROM v_seams_big)"
+_ALL = ctes("v_seams_all") + f",\npoints AS (SELECT *, {_SCORE} AS score, {_CATEGORY} AS category FROM v_seams_all)"
 _SEAM = "module, name, kind, lineno, seam_ord"
 
 
@@ -145,6 +146,11 @@ def _(spark, d):
     return scoring.points(view(spark, d, "v_seams_big"), 0.8).groupBy("module", "name", "seam_ord", "lineno", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("rank_points_all", f"{_ALL} SELECT {_SEAM}, category, score, row_number() OVER (ORDER BY score DESC, module, lineno, seam_ord) AS rank FROM points")
+def _(spark, d):
+    return ranking.ranked(scoring.points(view(spark, d, "v_seams_all"))).select(*_SEAM_COLS, "category", "score", "rank")
+
+
 @query("min_score_filter", f"{_POINTS} SELECT seam_ord, score FROM points WHERE score >= CAST(0.8 AS DOUBLE)")
 def _(spark, d):
     return _points(spark, d, 0.8).select("seam_ord", "score")

@@ -18,3 +18,9 @@ def test_every_line_is_flattened(spark):
     sf = "/root/testdata/sf0.001"
     classes = catalogue.QUERIES["seam_flatten_all"](spark, sf).filter("kind IN ('class', 'abstract_class')")
     assert classes.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_every_line_is_ranked(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = catalogue.QUERIES["rank_points_all"](spark, sf).collect()
+    assert sorted(r.rank for r in rows) == list(range(1, spark.read.parquet(f"{sf}/lineitem.parquet").count() + 1)) and min(r.score for r in rows) < 0.8
