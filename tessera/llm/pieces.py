@@ -1,37 +1,47 @@
-"""Piece vocabularies: unigram Viterbi over marked words, count only (operator 1) and with ids (operator 7).
+"""Piece vocabularies: segmentation of marked words by an Aho-Corasick machine and dynamic programming, count only (operator 1) and with ids (operator 7).
 
-The vocabulary is a SentencePiece file, read for its pieces and scores. Both operators segment by the unigram rule
-(maximise the sum of piece scores); the file's own BPE merges are not replayed. The result equals that of the sentencepiece
-library when the same file is loaded with its model type set to unigram (see tests).
+The vocabulary is a SentencePiece file, read for its pieces, scores and kind; the result equals that of the sentencepiece library on the same file.
 
-Rules taken over from the tokenizer:
- * one space is put before the text unless it is empty; spaces become the mark U+2581; nothing else is normalised;
- * a piece ending at a position replaces the best one so far only if its score is strictly larger, and starts are visited in
-   ascending order, so of equal scores the longest last piece wins;
- * a character of which no one-character piece exists costs the smallest score less 10, and becomes one byte piece per UTF-8 byte.
+ * A unigram file: the best sum of piece scores (Viterbi). A piece ending at a position replaces the best one so far only if its score is strictly
+   larger, and starts are visited in ascending order, so of equal scores the longest last piece wins. Scores are summed exactly (float64).
+ * A BPE file: merges, best score first and of equal ones the leftmost. A best sum isn't what they give (the best sum of this file's scores has 14 % more
+   pieces), so the programme carries for each prefix the last piece of its encoding instead. A sequence of pieces is the encoding of a text if and only if each
+   two neighbours are that of their own concatenation; of the pieces that end at a position exactly one is compatible with the last piece of the prefix
+   before it. Compatibility of two pieces is found once by merging them.
 
-No piece holds a mark after another character (checked when the file is loaded), so a text's best path passes every boundary
-before a mark, and the best path of a text is the concatenation of those of its marked words. Scores are summed exactly (float64)
-per word; the library's float32 sum over a whole text may round once it exceeds 2**24.
+Both programmes go through prefixes, so what is known of a shared prefix serves all words that begin with it.
+
+Rules taken over from the tokenizer: one space is put before the text unless it is empty; spaces become the mark U+2581; nothing else is normalised; a
+character of which no one-character piece exists (by the unigram rule it costs the smallest score less 10) becomes one byte piece per UTF-8 byte.
+
+No piece holds a mark after another character (checked when the file is loaded), so a text's segmentation passes every boundary before a mark, and that of
+a text is the concatenation of those of its marked words.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from heapq import heapify, heappop, heappush
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, as_text, by_row, project
+from .common import TOKENIZERS, as_text, by_row, project, ship
 
 MARK = "▁"
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-#: A worker remembers at most so many words; beyond it forgets all of them and starts again.
+#: A worker remembers at most so many words, none of them longer than MEMO_CHARS; beyond it forgets all of them and starts again.
 MEMO_WORDS = 300_000
+MEMO_CHARS = 64
+#: Pairs of pieces of which a worker remembers whether they are compatible.
+MEMO_PAIRS = 2_000_000
 UNK_PENALTY = 10.0
+#: Texts of which the new words are segmented together.
+TEXTS = 256
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _LOADED: dict[str, "Vocabulary"] = {}
 
@@ -39,8 +49,9 @@ _LOADED: dict[str, "Vocabulary"] = {}
 class Vocabulary:
     """Pieces (text -> (id, score)), the byte pieces' ids, and the tables that decoding needs."""
 
-    def __init__(self, pieces: Iterable[tuple[str, float, str]]):
-        """pieces: (text, score, kind) in the order of their ids; kind is normal, byte, unused, unknown or control."""
+    def __init__(self, pieces: Iterable[tuple[str, float, str]], merges: bool = False):
+        """pieces: (text, score, kind) in the order of their ids; kind is normal, byte, unused, unknown or control. merges: of a BPE file."""
+        self.merges = merges
         self.score: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         self.byte_id = [-1] * 256
@@ -60,14 +71,20 @@ class Vocabulary:
         if min(self.byte_id) < 0:
             raise ValueError("the vocabulary has no byte pieces to fall back on")
         self.unk = low - UNK_PENALTY
+        if merges and not all(c in self.score for p in self.score for c in p):
+            raise ValueError("a piece holds a character that is no piece")
+        #: When merges make a piece; single characters are there from the beginning.
+        self.order = {p: -1 if len(p) == 1 else k for k, p in enumerate(sorted(self.score, key=lambda p: -self.score[p]))} if merges else {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        #: Whether pieces are compatible: by the id of the first plus 1 (0: the word's begin), 32 bits up, and that of the second.
+        self.pairs: dict[int, bool] = {}
         self._build()
 
     def _build(self) -> None:
-        """Aho-Corasick machine over the pieces: follow[state] maps characters to states, found[state] lists (length, score) of the pieces that end
+        """Aho-Corasick machine over the pieces: follow[state] maps characters to states, found[state] lists (length, score, id) of the pieces that end
         there, longest first, and alone[state] tells whether one of them is a single character."""
         follow: list[dict[str, int]] = [{}]
-        own: list[float | None] = [None]
-        depth = [0]
+        own: list[tuple[int, float, int] | None] = [None]
         for p, score in self.score.items():
             at = 0
             for c in p:
@@ -76,11 +93,10 @@ class Vocabulary:
                     to = follow[at][c] = len(follow)
                     follow.append({})
                     own.append(None)
-                    depth.append(depth[at] + 1)
                 at = to
-            own[at] = score
+            own[at] = (len(p), score, self.ids[p])
         fail = [0] * len(follow)
-        found: list[tuple[tuple[int, float], ...]] = [()] * len(follow)
+        found: list[tuple[tuple[int, float, int], ...]] = [()] * len(follow)
         layer = [0]
         while layer:
             after = []
@@ -91,7 +107,7 @@ class Vocabulary:
                         while f and c not in follow[f]:
                             f = fail[f]
                         fail[to] = follow[f].get(c, 0)
-                    found[to] = (((depth[to], own[to]),) if own[to] is not None else ()) + found[fail[to]]
+                    found[to] = ((own[to],) if own[to] is not None else ()) + found[fail[to]]
                     after.append(to)
             layer = after
         self.follow, self.fail, self.found = follow, fail, found
@@ -112,79 +128,186 @@ class Vocabulary:
     def load(cls, path: str) -> "Vocabulary":
         if path not in _LOADED:
             import sentencepiece
+            from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
             kind = lambda i: "byte" if sp.is_byte(i) else "unknown" if sp.is_unknown(i) else "control" if sp.is_control(i) else "unused" if sp.is_unused(i) else "normal"
-            _LOADED[path] = cls((sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size()))
+            model = ModelProto.FromString(sp.serialized_model_proto()).trainer_spec.model_type
+            if model not in (1, 2):
+                raise ValueError("neither a unigram nor a BPE file")
+            _LOADED[path] = cls(((sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())), merges=model == 2)
         return _LOADED[path]
 
+    def merged(self, word: str) -> list[str]:
+        """Pieces, and unknown characters, of a word by its merges."""
+        part: list[str | None] = list(word)
+        after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
+        score, end = self.score.get, len(part)
+        todo = [(-s, k, a + b) for k, (a, b) in enumerate(zip(word, word[1:])) if (s := score(a + b)) is not None]
+        heapify(todo)
+        while todo:
+            _, k, whole = heappop(todo)
+            n = after[k]
+            if part[k] is None or n == end or len(part[k]) + len(part[n]) != len(whole) or part[k] + part[n] != whole:
+                continue
+            part[k], part[n] = whole, None
+            after[k] = n = after[n]
+            if n < end:
+                before[n] = k
+                if (s := score(whole + part[n])) is not None:
+                    heappush(todo, (-s, k, whole + part[n]))
+            if (b := before[k]) >= 0 and (s := score(part[b] + whole)) is not None:
+                heappush(todo, (-s, b, part[b] + whole))
+        return [p for p in part if p is not None]
+
+    def split(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces of which merges make a piece (itself twice if it is one character); None if they don't make it."""
+        if piece not in self.halves:
+            got = (piece, piece) if len(piece) == 1 else None
+            if not got and self.merged(piece) == [piece]:
+                # of the cuts into two pieces the one whose halves are compatible until the piece is made
+                made = self.order[piece]
+                got = next((x for k in range(1, len(piece)) if (x := (piece[:k], piece[k:])) and x[0] in self.order and x[1] in self.order and self.split(x[0]) and self.split(x[1]) and self._stay(*x, made)), None)
+            self.halves[piece] = got
+        return self.halves[piece]
+
+    def _stay(self, a: str, b: str, limit: float = float("inf")) -> bool:
+        """Whether nothing merges across the border of a and b before limit: the pieces beside the border are taken apart again, the latest made first."""
+        order = self.order
+        while True:
+            whole = order.get(a + b)
+            if whole is not None and whole < limit:
+                return False
+            x, y = order[a], order[b]
+            if x > y:
+                limit, a = x, self.split(a)[1]
+            elif y >= 0:
+                limit, b = y + 1, self.split(b)[0]
+            else:
+                return True
 
-def count_word(v: Vocabulary, word: str) -> int:
-    """Number of pieces of a marked word: the machine lists the pieces that end at each position, longest first; the dynamic programme carries the best
-    score and the number of pieces only."""
-    follow, found, alone, step, unk = v.follow, v.found, v.alone, v.step, v.unk
-    best, count = [0.0], [0]
-    at = e = 0
-    for c in word:
-        to = follow[at].get(c)
-        at = step(at, c) if to is None else to
-        e += 1
-        top = None
-        n = 0
-        for size, s in found[at]:
-            x = best[e - size] + s
-            if top is None or x > top:
-                top, n = x, count[e - size] + 1
-        if not alone[at]:
-            x = best[-1] + unk
-            if top is None or x > top:
-                top, n = x, count[-1] + len(c.encode("utf-8", "surrogatepass"))
-        best.append(top)
-        count.append(n)
-    return count[-1]
+    def compatible(self, key: int, first: str, second: str) -> bool:
+        """Whether first (empty at a word's begin) and second are the encoding of their concatenation; remembered under key."""
+        if len(self.pairs) >= MEMO_PAIRS:
+            self.pairs.clear()
+        ok = self.pairs[key] = self.split(second) is not None and (not first or self._stay(first, second))
+        return ok
 
+    def codes(self, pieces: Iterable[str]) -> list[int]:
+        """Ids of pieces and unknown characters."""
+        return [i for p in pieces for i in ([self.ids[p]] if p in self.ids else [self.byte_id[x] for x in p.encode("utf-8", "surrogatepass")])]
 
-def encode_words(v: Vocabulary, words: Iterable[str]) -> dict[str, bytes]:
-    """Ids (int32, little endian) of marked words. The sorted words are the paths of a trie in depth-first order; states, forward scores and back
-    pointers of the prefix shared with the word before are reused."""
-    out: dict[str, bytes] = {}
-    follow, found, alone, step, unk, ids = v.follow, v.found, v.alone, v.step, v.unk, v.ids
-    best, back, state = [0.0], [0], [0]  # back: length of the best last piece, 0 for an unknown character
-    before = ""
-    for w in sorted(words):
-        k, m = 0, min(len(w), len(before))
-        while k < m and w[k] == before[k]:
-            k += 1
-        del best[k + 1 :], back[k + 1 :], state[k + 1 :]
-        at, e = state[k], k
-        for c in w[k:]:
+
+class Path:
+    """Segmentations of the prefixes of a word: of each the best score, the number of pieces, the length of the last piece (0: an unknown character), its id
+    (-1: unknown; -2 at the begin) and the machine's state."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.word = v, ""
+        self.best, self.count, self.back, self.last, self.state = [0.0], [0], [0], [-2], [0]
+
+    def to(self, word: str, shared: int) -> None:
+        """Go to another word, of which the first shared characters are those of the one before."""
+        for x in (self.best, self.count, self.back, self.last, self.state):
+            del x[shared + 1 :]
+        self.word = word
+        (self._merge if self.v.merges else self._add)(shared)
+
+    def _add(self, e: int) -> None:
+        """The machine lists the pieces that end at each position, longest first; the best score wins."""
+        v, best, count, back, state = self.v, self.best, self.count, self.back, self.state
+        follow, found, alone, step, unk = v.follow, v.found, v.alone, v.step, v.unk
+        at = state[-1]
+        for c in self.word[e:]:
             to = follow[at].get(c)
             at = step(at, c) if to is None else to
             e += 1
-            top, size = None, 0
-            for length, s in found[at]:
+            top, n, size = None, 0, 0
+            for length, s, _ in found[at]:
                 x = best[e - length] + s
                 if top is None or x > top:
-                    top, size = x, length
+                    top, n, size = x, count[e - length] + 1, length
             if not alone[at]:
                 x = best[-1] + unk
                 if top is None or x > top:
-                    top, size = x, 0
+                    top, n, size = x, count[-1] + len(c.encode("utf-8", "surrogatepass")), 0
             best.append(top)
+            count.append(n)
             back.append(size)
             state.append(at)
-        path = []
+
+    def _merge(self, e: int) -> None:
+        """Of the listed pieces the one that is compatible with the last piece of the prefix before it. An unknown character never merges."""
+        v, word, count, back, last, state = self.v, self.word, self.count, self.back, self.last, self.state
+        follow, found, step, pairs, compatible = v.follow, v.found, v.step, v.pairs, v.compatible
+        at = state[-1]
+        for c in word[e:]:
+            to = follow[at].get(c)
+            at = step(at, c) if to is None else to
+            e += 1
+            for length, _, own in found[at]:
+                k = e - length
+                was = last[k]
+                key = (was + 1 if was >= 0 else 0) << 32 | own
+                ok = pairs.get(key)
+                if ok is None:
+                    ok = compatible(key, word[k - back[k] : k] if was >= 0 else "", word[k:e])
+                if ok:
+                    last.append(own)
+                    back.append(length)
+                    count.append(count[k] + 1)
+                    break
+            else:
+                last.append(-1)
+                back.append(0)
+                count.append(count[-1] + len(c.encode("utf-8", "surrogatepass")))
+            state.append(at)
+
+    def ids(self) -> bytes:
+        """int32, little endian, along the back pointers."""
+        v, word, back = self.v, self.word, self.back
+        e, path = len(word), []
         while e:
             size = back[e]
             if size:
-                path.append(ids[w[e - size : e]])
+                path.append(v.ids[word[e - size : e]])
                 e -= size
             else:
-                path.extend(v.byte_id[x] for x in reversed(w[e - 1].encode("utf-8", "surrogatepass")))
+                path.extend(v.byte_id[x] for x in reversed(word[e - 1].encode("utf-8", "surrogatepass")))
                 e -= 1
         path.reverse()
-        out[w] = pack("<%di" % len(path), *path)
-        before = w
+        return pack("<%di" % len(path), *path)
+
+
+def _tied(v: Vocabulary, word: str) -> bool:
+    """Whether pieces of equal score, which runs of marks are, may merge: then neighbours don't tell, and the word is merged as a whole."""
+    return v.merges and word.startswith(MARK + MARK)
+
+
+def count_word(v: Vocabulary, word: str) -> int:
+    """Number of pieces of a marked word."""
+    if _tied(v, word):
+        return len(v.codes(v.merged(word)))
+    p = Path(v)
+    p.to(word, 0)
+    return p.count[-1]
+
+
+def encode_words(v: Vocabulary, words: Iterable[str]) -> dict[str, bytes]:
+    """Ids (int32, little endian) of marked words. The sorted words are the paths of a trie in depth-first order; what is known of the prefix shared with the word
+    before is reused."""
+    out: dict[str, bytes] = {}
+    p = Path(v)
+    for w in sorted(words):
+        if _tied(v, w):
+            ids = v.codes(v.merged(w))
+            out[w] = pack("<%di" % len(ids), *ids)
+            continue
+        k, m, before = 0, min(len(w), len(p.word)), p.word
+        while k < m and w[k] == before[k]:
+            k += 1
+        p.to(w, k)
+        out[w] = p.ids()
     return out
 
 
@@ -199,15 +322,17 @@ _CODES: dict[str, dict[str, bytes]] = {}
 
 
 class Counts(dict):
-    """Marked word -> number of pieces, found when first asked for."""
+    """Marked word -> number of pieces, found when first asked for. Long words aren't kept, so that the memo is bounded in bytes too."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        n = self[word] = count_word(self.v, word)
+        n = count_word(self.v, word)
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = n
         return n
 
 
@@ -215,9 +340,18 @@ def split_marked(text: str) -> list[str]:
     """units(text), fast where single spaces separate the words."""
     if not text:
         return []
-    if "  " in text or MARK in text or text[0] == " " or text[-1] == " " or "\n" in text:
+    if MARK in text:
         return units(text)
-    return (MARK + text.replace(" ", " " + MARK)).split(" ")
+    out: list[str] = []
+    for line in (" " + text).split("\n"):
+        if "  " in line:
+            out += _UNIT.findall(line.replace(" ", MARK))
+        elif line:
+            w = line.replace(" ", " " + MARK).split(" ")
+            out += w if w[0] else w[1:]
+        out.append("\n")
+    out.pop()
+    return out
 
 
 def token_counts(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,18 +392,21 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = as_text(b.column(1))
             ids, ok, sizes = [], [], [0]
-            for a in range(0, len(texts), 256):
-                part = [split_marked(t) for t in texts[a : a + 256]]
+            for a in range(0, len(texts), TEXTS):
+                part = [split_marked(t) for t in texts[a : a + TEXTS]]
                 new = set().union(*part).difference(memo)
                 if len(memo) + len(new) > MEMO_WORDS:
                     memo.clear()
                     new = set().union(*part)
                 memo.update(encode_words(v, new))
-                for t, u in zip(texts[a : a + 256], part):
+                for t, u in zip(texts[a : a + TEXTS], part):
                     x = np.frombuffer(b"".join(map(memo.__getitem__, u)), "<i4")
                     ids.append(x)
                     sizes.append(len(x))
                     ok.append(decode_ids(v, x) == t)
+                for w in new:  # long words aren't kept, so that the memo is bounded in bytes too
+                    if len(w) > MEMO_CHARS:
+                        del memo[w]
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, "<i4"), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat)
             return pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(sizes[1:], pa.int64()), pa.array(ok, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
@@ -287,10 +424,6 @@ def decode_ids(v: Vocabulary, ids: Iterable[int]) -> str:
 
 def decode(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) of rows of ids. A null list gives an empty text; bytes that aren't UTF-8 give U+FFFD; an id outside the vocabulary raises."""
-    from pyspark.sql import functions as F
-
-    from .common import ship
-
     ship(encoded.sparkSession)
 
     def make():

@@ -1,14 +1,25 @@
+import random
+import string
+
 import numpy as np
 import pytest
 
 from tessera.llm import pieces as P
 
-FLOOR = -40_000.0  # of the marker scores; the library's float32 sums are exact only above about -2**24
+FLOOR = -40_000.0  # of the marker scores, for the unigram rule: the library's float32 sums are exact only above about -2**24
 
 
 @pytest.fixture(scope="module")
 def library():
-    """The sentencepiece library on the same file read as a unigram model, and our vocabulary with the same scores."""
+    """The sentencepiece library on the file as it is."""
+    import sentencepiece as sp
+
+    return sp.SentencePieceProcessor(model_file=P.MODEL)
+
+
+@pytest.fixture(scope="module")
+def unigram():
+    """The library on the same pieces as a unigram file, and our vocabulary of it."""
     import sentencepiece as sp
     from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -28,11 +39,36 @@ def ids_of(v, text):
     return [int(i) for w in u for i in np.frombuffer(e[w], "<i4")]
 
 
-def test_equals_the_tokenizer(library, sample):
-    lib, v = library
-    texts = [line for _, t in sample for line in t.split("\n") if len(line) < 1500]
-    texts += ["", " ", "  ", "a  b", " lead", "trail ", "x   y", "Hello, wörld", "aaaaaaaaaaaaaaaa", "import os; os.system('ls')"]
-    assert len(texts) > 300
+PLANTED = ["", " ", "  ", "a  b", " lead", "trail ", "x   y", "Hello, wörld", "aaaaaaaaaaaaaaaa", "import os; os.system('ls')", "\n\n a\n", "漢字  x\n" * 9, " " * 500 + "the" + " " * 33, "x" * 5000]
+
+
+def test_equals_the_tokenizer_on_whole_documents(library, sample):
+    v = P.Vocabulary.load(P.MODEL)
+    rng = random.Random(1)
+    noise = ["".join(rng.choices(string.ascii_letters + string.digits + "  .,#%&é漢=-\n", k=400)) for _ in range(100)] + ["".join(rng.choices("abt he", k=60)) for _ in range(200)]
+    texts = [t for _, t in sample] + PLANTED + noise
+    assert v.merges and max(map(len, texts)) > 5_000
+    for t in texts:
+        u = P.split_marked(t)
+        assert u == P.units(t)
+        got = ids_of(v, t)
+        assert got == library.encode(t), t[:80]
+        assert sum(P.count_word(v, w) for w in u) == len(got)
+
+
+def test_compatible_by_merging():
+    v = P.Vocabulary.load(P.MODEL)
+    rng = random.Random(2)
+    first = [p for p in v.score if not p.startswith(P.MARK * 2)]
+    second = [p for p in first if P.MARK not in p]
+    for a, b in zip(rng.choices(first, k=4000), rng.choices(second, k=4000)):
+        assert v.compatible(0, a, b) == (v.merged(a + b) == [a, b]), (a, b)
+
+
+def test_unigram_rule_equals_the_library(unigram, sample):
+    lib, v = unigram
+    texts = [line for _, t in sample for line in t.split("\n") if len(line) < 1500] + PLANTED[:10]
+    assert len(texts) > 300 and not v.merges
     for t in texts:
         assert ids_of(v, t) == lib.encode(t), t
 
