@@ -1,14 +1,15 @@
 """Operator 10, personal data: base patterns, and a semi-Markov conditional random field over candidate segments.
 
-The base patterns are matched over whole texts. The model looks at windows around digits and at-signs: a window's tokens are cut into segments,
-each an entity of up to MAX_TOKENS tokens or a single token outside. A segment's score comes from features of the whole span (its shape, digit
+The base patterns are matched over whole texts, in time proportional to their length. The model looks at windows around digits and at-signs: a window's tokens are cut into
+segments, each an entity of up to MAX_TOKENS tokens, MAX_DIGITS digits and MAX_CHARS characters or a single token outside. A segment's score comes from features of the whole span (its shape, digit
 groups, checksum, context) per type; a dynamic programme over segment ends picks boundaries and types jointly. Spans that the patterns miss, such
 as telephone numbers without a country code or spelled-out addresses, are added; base spans always stay, and a model span that touches one is dropped.
 
 It is trained on the driver by maximum likelihood (semi-Markov forward-backward, stochastic gradient) from a bounded sample: windows of the SAMPLE_TEXTS texts with
-the smallest hash of their id among those with a digit group or at-sign. Gold segments are the base spans of the window and of altered copies of it:
-forms that people write but the patterns miss (labelled with their type), and look-alikes that fail a check (labelled outside). Every window that
-holds a span is trained on, with an altered copy of each of its spans; of the windows without a span at most EMPTY_WINDOWS of a text, drawn at random.
+the smallest hash of their id among those with a digit group or at-sign, of SAMPLE_CHARS characters at most where there are enough such. Gold segments are the base
+spans of the window and of altered copies of it: forms that people write but the patterns miss (labelled with their type), and look-alikes that fail a check
+(labelled outside). Every window that holds a span is trained on, with COPIES altered copies of each of its spans; of the windows without a span at most EMPTY_WINDOWS
+of a text, drawn at random.
 
 Spans are code points, end exclusive.
 """
@@ -19,29 +20,36 @@ import bisect
 import math
 import random
 import re
+from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, by_row, project, ship
-from .secret_scan import FOUND, FOUND_SCHEMA
+from .common import as_text, by_row, hash_below, project, ship
+from .secret_scan import FOUND, FOUND_SCHEMA, Cover
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 20
+#: Digits of an entity, at least (but for addresses of four numbers) and at most, and characters at most.
+MIN_DIGITS, MAX_DIGITS, MAX_CHARS = 7, 25, 320
 #: Characters around a digit or at-sign that a window holds.
 REACH = 48
 SAMPLE_TEXTS = 300
+SAMPLE_CHARS = 20_000
+#: Altered copies of a span, forms in turn.
+COPIES = 3
 #: Windows without a span that a text gives at most.
 EMPTY_WINDOWS = 20
 EPOCHS = 5
 RATE = 0.02
 RIDGE = 1e-4
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_MAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _AT = re.compile(r"[0-9]+|@|[\[(]\x20?at\x20?[\])]", re.IGNORECASE)
@@ -64,35 +72,58 @@ def _digits(s: str) -> str:
 
 
 def _emails(text: str) -> list[Span]:
-    """Matches lie within runs of the pattern's characters, so only runs that hold an at-sign are searched."""
-    out, end = [], 0
+    """A match is an at-sign with a domain after it and all the pattern's characters before it, back to the last match or at-sign; without a domain
+    none of these characters can begin one."""
+    out, low = [], 0
     p = text.find("@")
     while p >= 0:
-        a = p
-        while a > end and (text[a - 1].isascii() and (text[a - 1].isalnum() or text[a - 1] in "._%+-@")):
-            a -= 1
-        end = _MAIL_RUN.match(text, p).end()
-        out += [("email", *m.span()) for m in _EMAIL.finditer(text, a, end)]
-        p = text.find("@", end)
+        m = _DOMAIN.match(text, p + 1)
+        if m:
+            a, reach = p, 64
+            while a > low:
+                from_ = max(low, p - reach)
+                a = from_ + len(text[from_:p].rstrip(_LOCAL))
+                if a > from_:
+                    break
+                reach *= 2
+            if a < p:
+                out.append(("email", a, m.end()))
+                low = m.end()
+        low = max(low, p + 1)
+        p = text.find("@", low)
     return out
 
 
+def _addresses(text: str) -> list[Span]:
+    """Four numbers at a time of each run of numbers with dots between them."""
+    out = []
+    for m in _DOTTED.finditer(text):
+        part = m[0].split(".")
+        a = m.start()
+        for k in range(0, len(part) - 3, 4):
+            four = part[k : k + 4]
+            b = a + sum(map(len, four)) + 3
+            if all(_at_most_255(p) for p in four):
+                out.append(("ip", a, b))
+            a = b + 1
+    return out
+
+
+def _at_most_255(number: str) -> bool:
+    return int(number.lstrip("0")[:4] or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """The patterns' matches, leftmost and non-overlapping per kind; failing matches are dropped, not tried again."""
     out = _emails(text) if "@" in text else []
     if _DIGIT.search(text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in _parts(m[0]))]
+        out += _addresses(text)
         out += [("card", *m.span()) for m in _CARD.finditer(text) if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
     return in_order(out)
 
 
-def _parts(ip: str) -> list[str]:
-    """Without leading zeros, and cut where a part can't be 255 or less any more."""
-    return [p.lstrip("0")[:4] or "0" for p in ip.split(".")]
-
-
 def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -113,13 +144,16 @@ class Window:
         self.ends: list[list[tuple[int, tuple[str, ...]]]] = [[] for _ in range(n)]
         for i in range(n):
             if digit[i] or w[i] in "+(":
+                digits = 0
                 for j in range(i, min(n, i + MAX_TOKENS)):
-                    if not digit[j] and w[j] not in "+-.() /":
-                        break
-                    if j > i and at[j][0] - at[j - 1][1] > 1:
+                    if not digit[j] and w[j] not in "+-.() /" or j > i and at[j][0] - at[j - 1][1] > 1:
                         break
                     if digit[j]:
-                        self.ends[j].append((i, self._features(i, j)))
+                        digits += len(w[j])
+                        if digits > MAX_DIGITS:
+                            break
+                        if digits >= MIN_DIGITS or j == i + 6 and digit[i] and w[i + 1] == w[i + 3] == w[i + 5] == ".":
+                            self.ends[j].append((i, self._number(i, j, digits)))
         for m in range(n):
             if w[m] == "@" or w[m].lower() == "at" and 0 < m < n - 1 and w[m - 1] in "[(" and w[m + 1] in "])":
                 for i in range(m - 1, max(-1, m - MAX_TOKENS // 2), -1):
@@ -129,37 +163,45 @@ class Window:
                     if x.isalnum():
                         for j in range(m + 1, min(n, i + MAX_TOKENS)):
                             y = w[j]
-                            if not (y.isalnum() or y in ".-])[(") or at[j][0] - at[j - 1][1] > (1 if y in "[(" or w[j - 1] in "])" else 0):
+                            if not (y.isalnum() or y in ".-])[(") or at[j][0] - at[j - 1][1] > (1 if y in "[(" or w[j - 1] in "])" or j == m + 1 else 0) or at[j][1] - at[i][0] > MAX_CHARS:
                                 break
                             if y.isalnum() and j > m + 1:
-                                self.ends[j].append((i, self._features(i, j)))
+                                self.ends[j].append((i, self._address(i, j)))
 
-    def _features(self, i: int, j: int) -> tuple[str, ...]:
+    def _around(self, i: int, j: int) -> tuple[str, str, str]:
         a, b = self.tokens[i][0], self.tokens[j][1]
-        s, t = self.text[a:b], self.text
-        d = _digits(s)
-        groups = [len(x) for x in re.findall(r"[0-9]+", s)]
-        coarse = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", s))[:40]
-        before, after = t[a - 1 : a] if a else "", t[b : b + 1]
         near = self.word[i - 1].lower() if i else ""
-        ip = coarse == "9.9.9.9" and all(int(p) <= 255 for p in _parts(s))
-        return (
-            f"c={coarse}",
-            f"g={'.'.join(map(str, groups[:6]))}" if "a" not in coarse else "g=text",
-            f"n={min(len(d), 20)}" if "a" not in coarse else "n=text",
-            f"l={14 <= len(d) <= 19 and 'a' not in coarse and luhn(d)}",
-            f"i={ip}",
-            f"@={'@' in s or 'at' in s.lower()},{bool(re.search(r'[a-z]{2,6}$', s))},{'.' in s or 'dot' in s.lower()}",
-            f"+={s[0] == '+'},{'(' in s},{s.count('(') == s.count(')')}",
-            f"e={_edge(before)},{_edge(after)}",
-            f"w={near if near.isalpha() and len(near) < 8 else ''}",
-        )
+        return _edge(self.text[a - 1 : a] if a else ""), _edge(self.text[b : b + 1]), near if near.isalpha() and len(near) < 8 else ""
+
+    def _number(self, i: int, j: int, digits: int) -> tuple[str, ...]:
+        """Features of a span without letters; all but the checks are those of its shape."""
+        s = self.text[self.tokens[i][0] : self.tokens[j][1]]
+        checks = (f"l={14 <= digits <= 19 and luhn(_digits(s))}", f"i={j == i + 6 and s.count('.') == 3 and all(x.isdigit() and _at_most_255(x) for x in s.split('.'))}")
+        return checks + _shape(s.translate(_NINES), digits, *self._around(i, j))
+
+    def _address(self, i: int, j: int) -> tuple[str, ...]:
+        """Features of a span with letters."""
+        s = self.text[self.tokens[i][0] : self.tokens[j][1]]
+        before, after, near = self._around(i, j)
+        coarse = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "9", s))[:40]
+        low = s.lower()
+        return (f"c={coarse}", "g=text", "n=text", "l=False", "i=False", f"@={'@' in s or 'at' in low},{bool(re.search(r'[a-z]{2,6}$', s))},{'.' in s or 'dot' in low}", f"+={s[0] == '+'},{'(' in s},{s.count('(') == s.count(')')}", f"e={before},{after}", f"w={near}")
 
     def outside(self, j: int) -> str:
         x = self.word[j]
         return "o=9" if x[0].isdigit() else f"o={x}" if x in "@+()" else "o=."
 
 
+_NINES = str.maketrans("012345678", "999999999")
+
+
+@lru_cache(65_536)
+def _shape(s: str, digits: int, before: str, after: str, near: str) -> tuple[str, ...]:
+    """Of a span with all its digits made 9."""
+    groups = ".".join(str(len(x)) for x in re.findall("9+", s)[:6])
+    return (f"c={re.sub('9+', '9', s)[:40]}", f"g={groups}", f"n={min(digits, 20)}", "@=False,False," + str("." in s), f"+={s[0] == '+'},{'(' in s},{s.count('(') == s.count(')')}", f"e={before},{after}", f"w={near}")
+
+
 def _edge(c: str) -> str:
     return "0" if not c or c.isspace() else "a" if c.isalnum() else c if c in "+-.@/" else "."
 
@@ -181,6 +223,7 @@ class Field:
 
     def __init__(self, weights: dict[str, float] | None = None):
         self.w = {} if weights is None else weights
+        self._known: dict[tuple[str, ...], list[float]] = {}
 
     def _scores(self, win: Window) -> tuple[list[float], list[list[tuple[int, int, float]]]]:
         """Outside scores by token, and entity scores by end token: (first token, type, score)."""
@@ -191,13 +234,22 @@ class Field:
 
     def decode(self, win: Window) -> list[Span]:
         n = len(win.word)
-        out, ent = self._scores(win)
+        if not any(win.ends):
+            return []
+        get, known = self.w.get, self._known
+        out = [get(win.outside(j), 0.0) for j in range(n)]
+        if len(known) > 100_000:
+            known.clear()
         best, back = [0.0] * (n + 1), [(-1, -1)] * (n + 1)
         for j in range(n):
             top, at = best[j] + out[j], (j, -1)
-            for i, k, s in ent[j]:
-                if best[i] + s > top:
-                    top, at = best[i] + s, (i, k)
+            for i, feats in win.ends[j]:
+                scores = known.get(feats)
+                if scores is None:
+                    scores = known[feats] = [sum(get(f"{kind}|{f}", 0.0) for f in feats) for kind in KINDS]
+                for k, s in enumerate(scores):
+                    if best[i] + s > top:
+                        top, at = best[i] + s, (i, k)
             best[j + 1], back[j + 1] = top, at
         spans, j = [], n
         while j:
@@ -264,25 +316,26 @@ def _within(win: Window, spans: list[Span]) -> list[Span]:
     return [s for s in spans[first:last] if s[2] <= hi]
 
 
-def _altered(kind: str, s: str, rng: random.Random) -> tuple[str, str | None]:
-    """Another way of writing a span, or a look-alike (type None)."""
+def forms(kind: str, s: str, rng: random.Random) -> list[tuple[str, str | None]]:
+    """Other ways of writing a span, and look-alikes (type None)."""
     d = _digits(s)
     if kind == "email":
         name, host = s.split("@", 1)
-        return rng.choice([(f"{name} [at] {host.replace('.', ' [dot] ')}", kind), (f"{name} (at) {host}", kind), (f"{name}@{host}".replace("@", " @ "), kind), (f"{name}@{host.replace('.', '')}", None)])
+        return [(f"{name} [at] {host.replace('.', ' [dot] ')}", kind), (f"{name} (at) {host}", kind), (f"{name} @ {host}", kind), (f"{name}@{host.replace('.', '')}", None)]
     if kind == "phone":
         local = d[-10:]
-        return rng.choice([(f"({local[:3]}) {local[3:6]}-{local[6:]}", kind), (f"{local[:3]}-{local[3:6]}-{local[6:]}", kind), (f"{local[:3]}.{local[3:6]}.{local[6:]}", kind), (d[: rng.randint(3, 9)], None), (f"{d[:4]}-{d[4:6]}-{d[6:8]}", None)])
+        return [(f"({local[:3]}) {local[3:6]}-{local[6:]}", kind), (f"{local[:3]}-{local[3:6]}-{local[6:]}", kind), (f"{local[:3]}.{local[3:6]}.{local[6:]}", kind), (d[: rng.randint(3, 9)], None), (f"{d[:4]}-{d[4:6]}-{d[6:8]}", None)]
     if kind == "card":
         off = d[:-1] + str((int(d[-1]) + rng.randint(1, 9)) % 10)
-        return rng.choice([(".".join(d[k : k + 4] for k in range(0, len(d), 4)), kind), (off, None), (" ".join(off[k : k + 4] for k in range(0, len(off), 4)), None), (d[: rng.randint(5, 12)], None)])
+        return [(".".join(d[k : k + 4] for k in range(0, len(d), 4)), kind), (off, None), (" ".join(off[k : k + 4] for k in range(0, len(off), 4)), None), (d[: rng.randint(5, 12)], None)]
     part = s.split(".")
-    return rng.choice([(".".join(part[:3]), None), (".".join([*part[:3], str(rng.randint(256, 999))]), None), (".".join([*part, part[0]]), None)])
+    return [(".".join(part[:3]), None), (".".join([*part[:3], str(rng.randint(256, 999))]), None), (".".join([*part, part[0]]), None)]
 
 
-def training_data(texts: list[str], rng: random.Random, empty: int = EMPTY_WINDOWS) -> list[tuple[Window, dict[tuple[int, int], int]]]:
-    """Windows with their gold segments: all that hold a span, an altered copy per span, and up to empty ones without a span per text."""
+def training_data(texts: list[str], rng: random.Random, empty: int = EMPTY_WINDOWS, copies: int = COPIES) -> list[tuple[Window, dict[tuple[int, int], int]]]:
+    """Windows with their gold segments: all that hold a span, altered copies of each span, and up to empty ones without a span per text."""
     data: list[tuple[Window, dict]] = []
+    turn: Counter[str] = Counter()
     pick = random.Random(8)
     for t in texts:
         base = base_spans(t)
@@ -294,26 +347,33 @@ def training_data(texts: list[str], rng: random.Random, empty: int = EMPTY_WINDO
                 continue
             data.append((win, _gold(win, here)))
             for kind, a, b in here:
-                new, label = _altered(kind, t[a:b], rng)
-                piece = t[max(0, a - REACH) : a] + new + t[b : b + REACH]
-                at = min(a, REACH)
-                spans = [(label, at, at + len(new))] if label else []
-                for k, x, y in base_spans(piece):
-                    if label is None and x < at + len(new) and at < y and (k != kind or (x, y) != (at, at + len(new))):
-                        spans.append((k, x, y))
-                    elif y <= at or x >= at + len(new):
-                        spans.append((k, x, y))
-                alt = Window(piece, 0, len(piece))
-                data.append((alt, _gold(alt, spans)))
+                every = forms(kind, t[a:b], rng)
+                for _ in range(min(copies, len(every))):
+                    new, label = every[turn[kind] % len(every)]
+                    turn[kind] += 1
+                    data.append(_copy(t, kind, a, b, new, label))
     rng.shuffle(data)
     return data
 
 
+def _copy(t: str, kind: str, a: int, b: int, new: str, label: str | None) -> tuple[Window, dict[tuple[int, int], int]]:
+    """What surrounds the span from a to b, with new in its place."""
+    piece = t[max(0, a - REACH) : a] + new + t[b : b + REACH]
+    at = min(a, REACH)
+    spans = [(label, at, at + len(new))] if label else []
+    for k, x, y in base_spans(piece):
+        if label is None and x < at + len(new) and at < y and (k != kind or (x, y) != (at, at + len(new))) or y <= at or x >= at + len(new):
+            spans.append((k, x, y))
+    alt = Window(piece, 0, len(piece))
+    return alt, _gold(alt, spans)
+
+
 def train(texts: list[str], epochs: int = EPOCHS, empty: int = EMPTY_WINDOWS) -> dict[str, float]:
     """Weights from texts; deterministic. Without any spans there is nothing to learn and nothing will be found."""
     data = training_data(texts, random.Random(7), empty)
     if not any(g for _, g in data):
         return {}
+    data = [x for x in data if any(x[0].ends)]  # without candidates there is one segmentation, and nothing to learn
     w: dict[str, float] = {}
     field = Field(w)
     for epoch in range(epochs):
@@ -328,12 +388,23 @@ def model_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     """Segments that the model finds and that touch no base span."""
     if not field.w:
         return []
-    return [s for win in windows(text) for s in field.decode(win) if all(s[2] <= a or b <= s[1] for _, a, b in base)]
+    cover = Cover(base)
+    return [s for win in windows(text) for s in field.decode(win) if not cover.touches(s[1], s[2])]
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: int = SAMPLE_TEXTS) -> list[str]:
-    d = project(docs, id_col, text_col).filter(F.col("text").rlike("@|[0-9]{3}"))
-    return [r[0] for r in d.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(texts).select("text").collect()]
+    """Texts with a digit group or at-sign, by the hash of their id, those of more than SAMPLE_CHARS characters last and the shortest first.
+
+    Only the texts in the lowest share of all hashes are looked at, so that few go to the driver; the share grows until it gives enough.
+    """
+    d = project(docs, id_col, text_col)
+    share = min(1.0, 16 * texts / max(1, d.count()))
+    while True:
+        some = d.filter(hash_below("doc_id", share)).filter(F.col("text").rlike("@|[0-9]{3}"))
+        got = some.orderBy(F.greatest(F.length("text"), F.lit(SAMPLE_CHARS)), F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(texts).select("text").collect()
+        if share >= 1 or len(got) >= texts:
+            return [r[0] for r in got]
+        share = min(1.0, share * max(2.0, 1.5 * texts / max(1, len(got))))
 
 
 def personal_data(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", empty: int = EMPTY_WINDOWS) -> DataFrame:

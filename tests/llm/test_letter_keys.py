@@ -7,7 +7,7 @@ from tessera.llm import secret_scan as C
 
 
 def found(text):
-    return [text[a:b] for _, a, b in C.token_spans(text, C.base_spans(text), C.encoding(C.RANKS))]
+    return [text[a:b] for _, a, b in C.token_spans(text, C.base_spans(text), C.encodings())]
 
 
 def test_random_letters_are_found():

@@ -1,7 +1,10 @@
 """Language ID (5), toxicity (6), decontamination (4), secrets (3), personal data (10)."""
 
 import hashlib
+import random
 import re
+import string
+import time
 import zlib
 
 import numpy as np
@@ -195,13 +198,36 @@ def test_secret_base_spans(sample):
 
 
 def test_token_efficiency():
-    enc = C.encoding(C.RANKS)
+    enc = C.encodings()
     found = lambda t: [t[a:b] for _, a, b in C.token_spans(t, C.base_spans(t), enc)]
     assert found("key 9fK2mQ7xTz4LpW8vRb3N end") == ["9fK2mQ7xTz4LpW8vRb3N"]
     for clean in ("d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "get_user_name_by_id_2024", "src/main/java/App2/Main", "12345678901234567890", "internationalization", "2024-01-02-backup-copy"):
         assert found(f"see {clean} here") == [], clean
 
 
+def test_recall_of_random_keys_and_false_alarms(sample):
+    enc = C.encodings()
+    rng = random.Random(12)
+    find = lambda t: [t[a:b] for _, a, b in C.token_spans(t, C.base_spans(t), enc)]
+    for alphabet in (string.ascii_letters, string.ascii_lowercase, string.ascii_letters + string.digits):
+        for size in (20, 32, 40):
+            keys = ["".join(rng.choices(alphabet, k=size)) for _ in range(300)]
+            assert sum(find(f"see {k} here") == [k] for k in keys) >= 0.95 * len(keys), (alphabet, size)
+    clean = [t for _, t in sample if not C.base_spans(t)]
+    assert len(clean) > 150 and sum(bool(find(t)) for t in clean) <= 0.01 * len(clean)
+
+
+def test_overlaps_by_definition():
+    rng = random.Random(1)
+    for _ in range(300):
+        spans = [("x", a, a + rng.randint(1, 9)) for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 6)))]
+        cover = C.Cover(spans)
+        for _ in range(20):
+            a = rng.randint(0, 60)
+            b = a + rng.randint(1, 9)
+            assert cover.touches(a, b) == any(x < b and a < y for _, x, y in spans)
+
+
 def test_secret_query(make, odd, sample):
     texts = odd + PLANTED + [t for _, t in sample[:40]]
     got = {r.doc_id: r for r in C.digest_columns(C.secret_scan(make(texts))).collect()}
@@ -218,7 +244,7 @@ def pii_by_definition(text):
     luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
     only = lambda s: re.sub("[^0-9]", "", s)
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split("."))]  # a number of thousands of digits can't be converted
     out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(only(m[0])) <= 19 and luhn(only(m[0]))]
     out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(only(m[0])) <= 15]
     return P.in_order(out)
@@ -232,7 +258,34 @@ PERSONAL = [
 
 def test_personal_base_spans(sample):
     for t in PERSONAL + [t for _, t in sample]:
-        assert P.base_spans(t) == pii_by_definition(t) if len(t) < 5000 or "12" * 3000 not in t else True, t[:80]
+        assert P.base_spans(t) == pii_by_definition(t), t[:80]
+
+
+@pytest.mark.parametrize("letters", ["a@.-_", "12.", "1 -+()", "a1@. ", "+19.(", "4 1-"])
+def test_personal_base_spans_of_random_strings(letters):
+    rng = random.Random(letters)
+    for _ in range(3_000):
+        t = "".join(rng.choices(letters, k=rng.randint(0, 40)))
+        assert P.base_spans(t) == pii_by_definition(t), t
+
+
+LONG = {
+    "digits": "7" * 1_000_000, "letters": "a" * 1_000_000 + "@", "at-signs": "a@" * 300_000, "addresses": "1.2.3.4 " * 20_000, "mails": "a@b.cd " * 30_000, "plus": "+1" + " " * 1_000_000,
+    "numbers": "1 2 3 4 5 6 7 8 9 " * 2_500, "hex": " ".join(f"{k:030x}" for k in range(100_000)), "letters without end": "qWzXvBnMkLpT" * 80_000, "assignments": "token=abcdef " * 50_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(LONG))
+def test_long_texts_take_time_in_proportion(name, weights):
+    t = LONG[name]
+    began = time.process_time()
+    base = P.base_spans(t)
+    P.model_spans(t, base, P.Field(weights))
+    secrets = C.base_spans(t)
+    C.token_spans(t, secrets, C.encodings())
+    assert time.process_time() - began < 20
+    want = {"digits": (0, 1), "letters": (0, 1), "addresses": (20_000, 0), "mails": (30_000, 0), "hex": (0, 100_000), "assignments": (0, 50_000)}  # runs of a and of 7 are hexadecimal
+    assert (len(base), len(secrets)) == want.get(name, (0, 0))
 
 
 def test_gradient_by_differences():
@@ -285,6 +338,38 @@ def weights(spark):
     return P.train(P.sample(table(spark, "/root/testdata/sf0.1", "documents")))
 
 
+def test_recall_of_altered_forms_held_out(spark):
+    """Trained on half of the documents, held against other ways of writing the other half's spans, and against look-alikes."""
+    texts = sorted(r.text for r in table(spark, "/root/testdata/sf0.1", "documents").filter("text RLIKE '@|[0-9]{3}'").select("text").collect())
+    random.Random(3).shuffle(texts)
+    f = P.Field(P.train(texts[: len(texts) // 2]))
+    rng = random.Random(11)
+    held, found, wrong, looks = (dict.fromkeys(P.KINDS, 0) for _ in range(4))
+    for t in texts[len(texts) // 2 :]:
+        for kind, a, b in pii_by_definition(t):
+            for new, label in P.forms(kind, t[a:b], rng):
+                text = t[max(0, a - 200) : a] + new + t[b : b + 200]
+                at = min(a, 200)
+                got = P.model_spans(text, P.base_spans(text), f)
+                if label:
+                    held[kind] += 1
+                    found[kind] += (kind, at, at + len(new)) in got
+                else:
+                    looks[kind] += 1
+                    wrong[kind] += any(x < at + len(new) and at < y for _, x, y in got)
+    for kind in ("email", "phone", "card"):
+        assert held[kind] > 30 and found[kind] >= 0.9 * held[kind], (kind, held, found)
+    assert sum(wrong.values()) <= 0.02 * sum(looks.values())
+    clean = [r.text for r in table(spark, "/root/testdata/sf0.1", "documents").filter("text IS NOT NULL").select("text").collect()]
+    clean = [t for t in clean if not P.base_spans(t)]
+    assert len(clean) > 9_000 and sum(bool(P.model_spans(t, [], f)) for t in clean) <= 0.001 * len(clean)
+
+
+def test_a_mark_between_spaces_is_an_address(weights):
+    t = "write to ann.lee @ mail.example.org today"
+    assert [t[a:b] for k, a, b in P.model_spans(t, P.base_spans(t), P.Field(weights))] == ["ann.lee @ mail.example.org"]
+
+
 def test_model_finds_what_patterns_miss(weights):
     f = P.Field(weights)
     find = lambda t: [(k, t[a:b]) for k, a, b in P.model_spans(t, P.base_spans(t), f)]
@@ -294,7 +379,7 @@ def test_model_finds_what_patterns_miss(weights):
 
 
 def test_personal_query(make, odd, sample, weights):
-    texts = odd + PERSONAL[:-1] + [t for _, t in sample[:60]]
+    texts = odd + PERSONAL + [t for _, t in sample[:60]]
     got = {r.doc_id: r for r in C.digest_columns(P.personal_data(make(texts), weights), P.KINDS).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):

@@ -16,11 +16,21 @@ def test_every_window_with_a_span_is_kept():
     assert len([1 for w, _ in P.training_data([LOG], random.Random(7), empty=50)]) == 50
 
 
-def test_every_span_of_a_window_has_an_altered_copy():
+def test_every_span_of_a_window_has_altered_copies():
     text = " ".join(f"bob{k}@mail.example.com" for k in range(9))
-    assert len(P.windows(text)) == 1 and len(P.training_data([text], random.Random(7))) == 1 + 9
+    assert len(P.windows(text)) == 1 and len(P.training_data([text], random.Random(7))) == 1 + 9 * P.COPIES
+    assert len(P.training_data([text], random.Random(7), copies=1)) == 1 + 9
 
 
 def test_rare_type_is_learned_beside_a_long_log():
     f = P.Field(P.train([LOG, *RARE], epochs=2))
     assert ("email", "eve [at] example [dot] com") in [(k, "eve [at] example [dot] com"[a:b]) for k, a, b in P.model_spans("eve [at] example [dot] com", [], f)]
+
+
+def test_sample_is_the_texts_of_the_least_hashes(spark, make):
+    docs = make([f"call {k}000 now" for k in range(300)] + ["no digits"] * 50 + ["x" * (P.SAMPLE_CHARS + 1) + " 123"])
+    got = P.sample(docs, texts=10)
+    want = [r.text for r in docs.filter("text RLIKE '[0-9]{3}' AND length(text) < 100").selectExpr("text", "xxhash64(doc_id) AS h").orderBy("h").limit(10).collect()]
+    assert got == want
+    everything = P.sample(docs, texts=1_000)
+    assert len(everything) == 301 and len(everything[-1]) > P.SAMPLE_CHARS
