@@ -21,9 +21,10 @@ a text is the concatenation of those of its marked words.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from struct import pack
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ MEMO_PAIRS = 2_000_000
 UNK_PENALTY = 10.0
 #: Texts of which the new words are segmented together.
 TEXTS = 256
+T = TypeVar("T")
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _LOADED: dict[str, "Vocabulary"] = {}
 
@@ -215,25 +217,26 @@ class Path:
 
     def _add(self, e: int) -> None:
         """The machine lists the pieces that end at each position, longest first; the best score wins."""
-        v, best, count, back, state = self.v, self.best, self.count, self.back, self.state
+        v, best, count, back, last, state = self.v, self.best, self.count, self.back, self.last, self.state
         follow, found, alone, step, unk = v.follow, v.found, v.alone, v.step, v.unk
         at = state[-1]
         for c in self.word[e:]:
             to = follow[at].get(c)
             at = step(at, c) if to is None else to
             e += 1
-            top, n, size = None, 0, 0
-            for length, s, _ in found[at]:
+            top, n, size, own = None, 0, 0, -1
+            for length, s, i in found[at]:
                 x = best[e - length] + s
                 if top is None or x > top:
-                    top, n, size = x, count[e - length] + 1, length
+                    top, n, size, own = x, count[e - length] + 1, length, i
             if not alone[at]:
                 x = best[-1] + unk
                 if top is None or x > top:
-                    top, n, size = x, count[-1] + len(c.encode("utf-8", "surrogatepass")), 0
+                    top, n, size, own = x, count[-1] + len(c.encode("utf-8", "surrogatepass")), 0, -1
             best.append(top)
             count.append(n)
             back.append(size)
+            last.append(own)
             state.append(at)
 
     def _merge(self, e: int) -> None:
@@ -265,15 +268,14 @@ class Path:
 
     def ids(self) -> bytes:
         """int32, little endian, along the back pointers."""
-        v, word, back = self.v, self.word, self.back
-        e, path = len(word), []
+        back, last = self.back, self.last
+        e, path = len(self.word), []
         while e:
-            size = back[e]
-            if size:
-                path.append(v.ids[word[e - size : e]])
-                e -= size
+            if last[e] >= 0:
+                path.append(last[e])
+                e -= back[e]
             else:
-                path.extend(v.byte_id[x] for x in reversed(word[e - 1].encode("utf-8", "surrogatepass")))
+                path.extend(self.v.byte_id[x] for x in reversed(self.word[e - 1].encode("utf-8", "surrogatepass")))
                 e -= 1
         path.reverse()
         return pack("<%di" % len(path), *path)
@@ -284,56 +286,57 @@ def _tied(v: Vocabulary, word: str) -> bool:
     return v.merges and word.startswith(MARK + MARK)
 
 
-def count_word(v: Vocabulary, word: str) -> int:
-    """Number of pieces of a marked word."""
-    if _tied(v, word):
-        return len(v.codes(v.merged(word)))
-    p = Path(v)
-    p.to(word, 0)
-    return p.count[-1]
-
-
-def encode_words(v: Vocabulary, words: Iterable[str]) -> dict[str, bytes]:
-    """Ids (int32, little endian) of marked words. The sorted words are the paths of a trie in depth-first order; what is known of the prefix shared with the word
-    before is reused."""
-    out: dict[str, bytes] = {}
+def _each(v: Vocabulary, words: Iterable[str], of_path: Callable[[Path], T], of_codes: Callable[[list[int]], T]) -> dict[str, T]:
+    """Of each word what of_path makes of its segmentation. The sorted words are the paths of a trie in depth-first order; what is known of the prefix shared
+    with the word before is reused."""
+    out: dict[str, T] = {}
     p = Path(v)
     for w in sorted(words):
         if _tied(v, w):
-            ids = v.codes(v.merged(w))
-            out[w] = pack("<%di" % len(ids), *ids)
+            out[w] = of_codes(v.codes(v.merged(w)))
             continue
         k, m, before = 0, min(len(w), len(p.word)), p.word
         while k < m and w[k] == before[k]:
             k += 1
         p.to(w, k)
-        out[w] = p.ids()
+        out[w] = of_path(p)
     return out
 
 
+def count_words(v: Vocabulary, words: Iterable[str]) -> dict[str, int]:
+    """Numbers of pieces of marked words."""
+    return _each(v, words, lambda p: p.count[-1], len)
+
+
+def encode_words(v: Vocabulary, words: Iterable[str]) -> dict[str, bytes]:
+    """Ids (int32, little endian) of marked words."""
+    return _each(v, words, Path.ids, lambda ids: pack("<%di" % len(ids), *ids))
+
+
 def units(text: str) -> list[str]:
     """Marked words of a text; a line feed is one of its own. Their concatenation is the marked text."""
     return _UNIT.findall((" " + text).replace(" ", MARK)) if text else []
 
 
 #: Of each file, what this worker has found out about words; kept from task to task.
-_COUNTS: dict[str, "Counts"] = {}
+_COUNTS: dict[str, dict[str, int]] = {}
 _CODES: dict[str, dict[str, bytes]] = {}
 
 
-class Counts(dict):
-    """Marked word -> number of pieces, found when first asked for. Long words aren't kept, so that the memo is bounded in bytes too."""
-
-    def __init__(self, v: Vocabulary):
-        self.v = v
-
-    def __missing__(self, word: str) -> int:
-        n = count_word(self.v, word)
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = n
-        return n
+def _by_batch(texts: list[str], memo: dict[str, T], find: Callable[[set[str]], dict[str, T]]) -> Iterator[list[T]]:
+    """What memo has of the units of each text; those that are new in a batch are found together. Long words aren't kept, so that the memo is bounded in bytes too."""
+    for a in range(0, len(texts), TEXTS):
+        part = [split_marked(t) for t in texts[a : a + TEXTS]]
+        new = set().union(*part).difference(memo)
+        if len(memo) + len(new) > MEMO_WORDS:
+            memo.clear()
+            new = set().union(*part)
+        memo.update(find(new))
+        got = [list(map(memo.__getitem__, u)) for u in part]
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                del memo[w]
+        yield from got
 
 
 def split_marked(text: str) -> list[str]:
@@ -362,15 +365,15 @@ def token_counts(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", te
 
     def make():
         v = Vocabulary.load(model)
-        memo = _COUNTS.setdefault(model, Counts(v))
+        memo = _COUNTS.setdefault(model, {})
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            tokens, words, chars = [], [], []
-            for t in as_text(b.column(1)):
-                u = split_marked(t)
-                tokens.append(sum(map(memo.__getitem__, u)))
-                words.append(len(u))
-                chars.append(len(t))
+            texts = as_text(b.column(1))
+            tokens, words = [], []
+            for n in _by_batch(texts, memo, lambda new: count_words(v, new)):
+                tokens.append(sum(n))
+                words.append(len(n))
+            chars = list(map(len, texts))
             return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (tokens, words, chars))], ["doc_id", "n_tokens", "n_units", "n_chars"])
 
         return f
@@ -392,21 +395,11 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = as_text(b.column(1))
             ids, ok, sizes = [], [], [0]
-            for a in range(0, len(texts), TEXTS):
-                part = [split_marked(t) for t in texts[a : a + TEXTS]]
-                new = set().union(*part).difference(memo)
-                if len(memo) + len(new) > MEMO_WORDS:
-                    memo.clear()
-                    new = set().union(*part)
-                memo.update(encode_words(v, new))
-                for t, u in zip(texts[a : a + TEXTS], part):
-                    x = np.frombuffer(b"".join(map(memo.__getitem__, u)), "<i4")
-                    ids.append(x)
-                    sizes.append(len(x))
-                    ok.append(decode_ids(v, x) == t)
-                for w in new:  # long words aren't kept, so that the memo is bounded in bytes too
-                    if len(w) > MEMO_CHARS:
-                        del memo[w]
+            for t, codes in zip(texts, _by_batch(texts, memo, lambda new: encode_words(v, new))):
+                x = np.frombuffer(b"".join(codes), "<i4")
+                ids.append(x)
+                sizes.append(len(x))
+                ok.append(decode_ids(v, x) == t)
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, "<i4"), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat)
             return pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(sizes[1:], pa.int64()), pa.array(ok, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
