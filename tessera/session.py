@@ -43,23 +43,39 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or what setCheckpointDir was given.
+
+    Only a local master gets one of our own where neither is set (tests); a cluster's executors would each write to a disk of their own.
+    """
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.conf.get("tessera.shared.dir", None)
-        if not d:
-            d = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-            spark.conf.set("tessera.shared.dir", d)
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        d = given.get() if given.isDefined() else spark.conf.get("tessera.shared.dir", None)
+    if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        d = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
+        spark.conf.set("tessera.shared.dir", d)
     return d.rstrip("/")
 
 
+def _written(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{_written(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete what this application has materialised; call it when no result is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
