@@ -3,13 +3,14 @@
 A suffix automaton of labelled text per language gives, at each position, the longest match; cross-parsing cuts a text into phrases of
 longest matches, and the language whose sample needs fewest phrases, normalised by what it needs for text of its own, wins.
 
-The sample is bounded: of each language the SAMPLE_ROWS labelled texts with the smallest hash of their id, of those with MIN_CHARS to
-MAX_CHARS characters (or, where a language has none such, of any length, cut into MAX_CHARS). Half of it makes the automaton, half the
-normalising rate. Prediction reads every text whole.
+The sample is bounded: of each language SAMPLE_ROWS labelled texts, those with the smallest hash of their id among those with MIN_CHARS to
+MAX_CHARS characters; where a language has fewer such, others too, the shortest of some with small hashes first, while they have SAMPLE_CHARS characters together (two texts
+at least). Texts of the sample are used whole. Half of them make the automaton, half the normalising rate. Prediction reads every text whole.
 
 Cross-parsing runs for all texts of a batch at once: texts are cut into lanes of LANE characters, and every step moves all lanes of all
-languages by one character through one transition table, in which a missing transition leads on from the root and counts a phrase. A lane's
-end ends a phrase, for every language alike.
+languages by one character through one transition table, in which a missing transition leads on from the root and counts a phrase. A lane is first
+parsed as if a phrase began with it; then it is parsed again from the state that the lane before ends in, beside the first parse, until both are in the same
+state, from which on they agree. Phrases are thus those of the whole text, whatever LANE is.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_text, by_row, project, ship
 
 SAMPLE_ROWS = 24
 MIN_CHARS, MAX_CHARS = 200, 3000
+SAMPLE_CHARS = SAMPLE_ROWS * MAX_CHARS
 LANE = 1024
 #: Characters of a batch that are parsed at once.
 BLOCK_CHARS = 4_000_000
@@ -139,21 +141,50 @@ class Model:
         k = np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         start = begin[of] + k * LANE
         length = np.minimum(size[of] - k * LANE, LANE)
-        order = np.argsort(-length, kind="stable")
-        start, length, of = start[order], length[order], of[order]
         n, langs = len(of), len(self.langs)
         if not n:
             return
+        order = np.argsort(-length, kind="stable")
+        at, left = start[order], length[order]
         state = np.repeat(self.root[:, None], n, axis=1)  # language x lane
         count = np.zeros((langs, n), np.int32)
-        alive = np.searchsorted(-length, -np.arange(LANE), side="left")  # lanes longer than each step
-        for step in range(int(length[0])):
+        alive = np.searchsorted(-left, -np.arange(LANE), side="left")  # lanes longer than each step
+        for step in range(int(left[0])):
             m = alive[step]
-            x = self.table.take(state[:, :m] * self.width + codes[start[:m] + step])
+            x = self.table.take(state[:, :m] * self.width + codes[at[:m] + step])
             count[:, :m] += x & 1
             state[:, :m] = x >> 1
+        total, end = np.empty_like(count), np.empty_like(state)
+        total[:, order], end[:, order] = count, state
+        self._join(codes, start, length, k > 0, total, end)
         for i in range(langs):
-            out[:, i] = np.bincount(of, count[i], len(texts)).astype(np.int64)
+            out[:, i] = np.bincount(of, total[i], len(texts)).astype(np.int64)
+
+    def _join(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, goes_on: np.ndarray, total: np.ndarray, end: np.ndarray) -> None:
+        """Put right total and end (language x lane) of the lanes that go on with the text of the lane before."""
+        later = np.flatnonzero(goes_on)
+        begin = np.repeat(self.root[:, None], len(start), axis=1)  # the state that each lane was parsed from
+        while True:
+            i, j = np.nonzero(begin[:, later] != end[:, later - 1])
+            if not len(i):
+                return
+            lane = later[j]
+            old, new = begin[i, lane], end[i, lane - 1]
+            begin[i, lane] = new
+            extra = np.zeros(len(i), np.int32)
+            run = np.arange(len(i))  # those that still differ
+            step = 0
+            while len(run):
+                c = codes[start[lane[run]] + step]
+                x, y = self.table.take(old[run] * self.width + c), self.table.take(new[run] * self.width + c)
+                extra[run] += (y & 1) - (x & 1)
+                old[run], new[run] = x >> 1, y >> 1
+                step += 1
+                differ = x >> 1 != y >> 1
+                over = differ & (length[lane[run]] == step)
+                end[i[run[over]], lane[run[over]]] = new[run[over]]
+                run = run[differ & ~over]
+            np.add.at(total, (i, lane), extra)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         plain = [fold(t) if t else "" for t in texts]
@@ -169,18 +200,36 @@ def held_out(id_col: str = "doc_id"):
     return (F.crc32(F.col(id_col).cast("string")) % HOLD_OUT) == 0
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> tuple:
-    """The bounded sample: ((lang, (text, ...)), ...), from rows that are not held out and have a label."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple:
+    """The bounded sample: ((lang, (text, ...)), ...), from rows that are not held out and have a label. Of rows that repeat an id one counts."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     d = d.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.length(F.trim("text")) > 0))
-    # ids are ranked without their texts, and each task keeps its first few before the shuffle; then the few texts are fetched
-    fit = F.when(F.length("text").between(MIN_CHARS, MAX_CHARS), 0).otherwise(1)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("fit", F.xxhash64("doc_id"), "doc_id"))
-    ids = [r[0] for r in d.select("doc_id", "lang", fit.alias("fit")).withColumn("k", rank).filter(F.col("k") <= rows).select("doc_id").collect()]
-    got: dict[str, list[tuple[int, str]]] = {}
-    for r in d.filter(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, MAX_CHARS)).collect() if ids else []:
-        got.setdefault(r[1], []).append((r[0], r[2]))
-    return tuple((lang, tuple(t for _, t in sorted(got[lang])[:rows])) for lang in sorted(got))
+    fit = F.length("text").between(MIN_CHARS, MAX_CHARS)
+    counts = {r.lang: (r.fit, r.n) for r in d.groupBy("lang").agg(F.count(F.when(fit, 1)).alias("fit"), F.count(F.lit(1)).alias("n")).collect()}
+    got: dict[str, list[tuple[bool, int, int, str]]] = {}
+    times = 4
+    while counts:
+        # a few times as many as are used, by a share of all hashes: texts of fitting length, and where those don't do others
+        share = {lang: (min(1.0, times * rows / max(1, n)), min(1.0, times * rows / (m - n)) if n < rows and m > n else 0.0) for lang, (n, m) in counts.items()}
+        few = d.sparkSession.createDataFrame([(lang, *x) for lang, x in share.items()], "lang string, fitting double, others double")
+        near = (F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5) <= F.when(fit, F.col("fitting")).otherwise(F.col("others"))
+        some = d.join(F.broadcast(few), "lang").filter(near).groupBy("lang", "doc_id").agg(F.min("text").alias("text"), F.min(F.xxhash64("doc_id")).alias("h"))
+        got = {}
+        for r in some.collect():
+            got.setdefault(r.lang, []).append((not MIN_CHARS <= len(r.text) <= MAX_CHARS, len(r.text), r.h, r.text))
+        if all(len(got.get(lang, [])) >= min(rows, n) or min(a or 1, b or 1) >= 1 for lang, (a, b) in share.items() for n in [counts[lang][1]]):
+            break
+        times *= 8
+    return tuple((lang, _whole(got[lang], rows, chars)) for lang in sorted(got))
+
+
+def _whole(texts: list[tuple[bool, int, int, str]], rows: int, chars: int) -> tuple[str, ...]:
+    """The first few texts while they have so many characters together: such of fitting length by hash, then others by length."""
+    out: list[str] = []
+    for odd, size, _, t in sorted(texts, key=lambda x: (x[0], x[1] if x[0] else 0, x[2], x[3])):
+        if len(out) < rows and (len(out) < 2 or sum(map(len, out)) + size <= chars):
+            out.append(t)
+    return tuple(out)
 
 
 def identify(docs: DataFrame, samples: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,5 +259,7 @@ def identify(docs: DataFrame, samples: tuple, id_col: str = "doc_id", text_col:
 
 
 def language_id(docs: DataFrame) -> DataFrame:
+    """identify() with what learn() gives of the same table: nulls, empty texts, ties, repeated rows and empty tables as there. A table without labelled texts
+    that aren't held out makes every text 'und'."""
     ship(docs.sparkSession)
     return identify(docs, learn(docs))

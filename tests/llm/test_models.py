@@ -22,16 +22,14 @@ SF = "/root/testdata/sf0.01"
 
 # --- language ID ---
 def slow_phrases(learned, text):
-    """Greedy longest matches within lanes."""
-    n = 0
-    for a in range(0, len(text), G.LANE):
-        lane, i = text[a : a + G.LANE], 0
-        while i < len(lane):
-            k = 1
-            while i + k < len(lane) and lane[i : i + k + 1] in learned:
-                k += 1
-            n += 1
-            i += k
+    """Greedy longest matches over the whole text."""
+    n = i = 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and text[i : i + k + 1] in learned:
+            k += 1
+        n += 1
+        i += k
     return n
 
 
@@ -39,13 +37,49 @@ def test_cross_parsing_by_brute_force():
     samples = (("x", ("the cat sat on the mat", "the hat")), ("y", ("le chat est sur le tapis", "le bat")))
     m = G.Model(samples)
     learned = [G.fold(" ".join(t[::2])) for _, t in samples]
-    texts = [G.fold(t) for t in ("the mat sat", "le tapis est", "zzz", "cat chat hat le", "the " * 900)]
+    texts = [G.fold(t) for t in ("the mat sat", "le tapis est", "zzz", "cat chat hat le", "the " * 900, "", "the cat sat on the mat" * 300, "z" * 3000, "tapis" * 2000)]
     got = m.phrases(texts)
     for t, row in zip(texts, got):
         for learnt, n in zip(learned, row):
             assert n == slow_phrases(learnt, t)
 
 
+@pytest.fixture(scope="module")
+def languages(spark):
+    return G.learn(table(spark, SF, "documents"))
+
+
+def test_long_texts_by_brute_force(spark, languages):
+    """Phrases, language and score of texts of many lanes, and of short ones, against a slow version."""
+    m = G.Model(languages)
+    rows = [r.text for r in table(spark, SF, "documents").select("text").orderBy("doc_id").collect() if r.text]
+    whole = " ".join(rows)
+    texts = [whole[:5_000], whole[7_000:207_000], rows[0], rows[1][:40], max(rows, key=len), "ab " * 5_000]
+    learned = [G.fold(" ".join(t[::2])) for _, t in languages]
+    tune = [[G.fold(x) for x in (t[1::2] or t)] for _, t in languages]
+    rate = [max(1, sum(slow_phrases(a, x) for x in xs)) / sum(map(len, xs)) for a, xs in zip(learned, tune)]
+    got = m.phrases([G.fold(t) for t in texts])
+    lang, score = m.predict(texts)
+    for t, row, name, s in zip(texts, got, lang, score):
+        f = G.fold(t)
+        n = [slow_phrases(a, f) for a in learned]
+        assert row.tolist() == n
+        per = [x / r / len(f) for x, r in zip(n, rate)]
+        assert name == m.langs[per.index(min(per))]
+        assert s == pytest.approx(1 / sum(np.exp(-G.SHARPNESS * (x - min(per))) for x in per))
+
+
+def test_sample_is_of_whole_texts(spark):
+    text = lambda k, size: " ".join(f"w{k}x{i}" for i in range(size))
+    rows = [(i, text(i, 60), "a") for i in range(400)] + [(1000 + i, text(i, 5_000), "b") for i in range(6)] + [(2000, "short one", "c"), (2001, None, "c"), (2001, "x", None)] + [(3000, text(1, 60), "d")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = dict(G.learn(docs))
+    whole = {t for _, t, _ in rows}
+    assert all(t in whole for ts in got.values() for t in ts)
+    learnt = [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5]
+    assert len(got["a"]) == G.SAMPLE_ROWS and len(got["b"]) == 2 and sum(r[0] == 3000 for r in learnt) in (0, 50) and len(got.get("d", [0])) == 1
+
+
 def test_language_accuracy_held_out(spark):
     docs = table(spark, SF, "documents")
     rows = G.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
