@@ -4,9 +4,14 @@ P(grade > k) = sigmoid(w.x - t_k) with one weight vector for all thresholds t_1
 of these probabilities. Features of a text are its distinct words and the 3- to 7-letter prefixes of its longer words (a prefix counts
 once per distinct word), of which the model keeps those that tell grades apart in the sample.
 
-The model is fitted on the driver from a bounded sample: at most SAMPLE_ROWS labelled texts of each label, those with the smallest hash of
-their text, one of each set of near copies (texts with the same two least hashes of 3-word sequences), so that a text that was copied often weighs once. Where labels say only toxic or not, the toxic ones are graded 1 or 2 by how many distinct indicator
-words they hold, split at the median. Prediction reads every text whole, and runs without a shuffle.
+The model is fitted from a bounded sample: at most SAMPLE_ROWS labelled texts of each label, those with the smallest hash of
+their text, one of each set of near copies (texts with the same two least hashes of 3-word sequences), so that a text that was copied often weighs once. The sample's words stay
+on the executors: they count how many texts hold each feature, and the driver gets the features that tell grades apart and, of each text, which of those it holds.
+
+Where labels say only toxic or not, the toxic ones are graded 1 or 2 by how many distinct indicator words they hold, split at the median. Grade 2 is thus no label: it orders
+toxic texts by how much of what the model learnt they hold, and severity above 1 isn't more than that. What is decided (toxic) rests on the labelled threshold alone.
+
+Prediction reads every text whole, and runs without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,16 +19,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, by_row, project, ship
+from .common import as_text, by_row, hash_below, materialise, project, ship
 
 SAMPLE_ROWS = 2_000
 FEATURES = 400
@@ -34,8 +40,9 @@ RIDGE = 2e-4
 STEPS = 400
 PREFIXES = (3, 4, 5, 6, 7)
 MIN_TEXTS = 3
-BUCKETS = 1 << 22
+#: A worker remembers the weights of so many words, none longer than MEMO_CHARS.
 MEMO_WORDS = 400_000
+MEMO_CHARS = 64
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -63,7 +70,7 @@ class Ordinal:
         x = memo.get(w) if memo is not None else None
         if x is None:
             x = sum(self.weights.get(p, 0.0) for p in parts(w))
-            if memo is not None:
+            if memo is not None and len(w) <= MEMO_CHARS:
                 if len(memo) >= MEMO_WORDS:
                     memo.clear()
                 memo[w] = x
@@ -74,32 +81,23 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - np.array(self.thresholds)[None, :], -40, 40)))
 
 
-def features(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """Features that tell toxic texts apart, by how many of either kind hold them; at most FEATURES, the strongest first.
+def strength(a: int, b: int, toxic: int, other: int) -> tuple[float, float]:
+    """Log odds of a feature that a of the toxic texts and b of the others hold, and how many standard errors the shares are apart."""
+    toxic, other = max(1, toxic), max(1, other)
+    odds = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (other + 1))
+    share = (a + b) / (toxic + other)
+    return odds, abs(a / toxic - b / other) / math.sqrt(max(share * (1 - share), 1e-12) * (1 / other + 1 / toxic))
+
 
-    Of a word and its prefixes only the one that tells most is kept, of about equal ones the longest. What fewer than MIN_TEXTS texts hold is left out; to
-    save memory a first pass over the texts counts by hash, and a second by name only what the first leaves.
+def choose(counts: dict[str, tuple[int, int]], toxic: int, other: int) -> list[str]:
+    """Features that tell toxic texts apart, at most FEATURES, the strongest first. counts: by feature, how many toxic and other texts hold it.
+
+    What fewer than MIN_TEXTS texts hold is left out. Of a word and its prefixes only the one that tells most is kept, of about equal ones the longest.
     """
-    seen = np.zeros(BUCKETS, np.int32)
-    bucket = lambda p: hash(p) & (BUCKETS - 1)
-    for t in texts:
-        seen[list({bucket(p) for w in words(t) for p in parts(w)})] += 1
-    often = (seen >= MIN_TEXTS).tobytes()
-    have = (Counter(), Counter())
-    for t, y in zip(texts, toxic):
-        have[int(y)].update({p for w in words(t) for p in parts(w) if often[bucket(p)]})
-    n = [max(1, int((~toxic).sum())), max(1, int(toxic.sum()))]
-    scored = {}
-    for f in have[0].keys() | have[1].keys():
-        a, b = have[1][f], have[0][f]
-        odds = math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
-        share = (a + b) / (n[0] + n[1])
-        errors = abs(a / n[1] - b / n[0]) / math.sqrt(max(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
-        if abs(odds) >= LOG_ODDS and errors >= ERRORS:
-            scored[f] = (odds, errors)
+    scored = {f: x for f, (a, b) in counts.items() if a + b >= MIN_TEXTS and abs((x := strength(a, b, toxic, other))[0]) >= LOG_ODDS and x[1] >= ERRORS}
     kept: list[str] = []
     taken: set[str] = set()  # of what is kept: the prefixes it has, and it itself
-    for f in sorted(scored, key=lambda f: (-abs(scored[f][0]) * scored[f][1] * (1 + len(f) / 100), f)):
+    for f in sorted(scored, key=lambda f: (-round(abs(scored[f][0]) * scored[f][1] * (1 + len(f) / 100), 9), f)):
         chain = parts(f.rstrip("*"))[1:] if not f.endswith("*") else [f[:k] + "*" for k in PREFIXES if k < len(f) - 1]
         if f in taken or any(g in kept for g in chain):
             continue
@@ -108,48 +106,78 @@ def features(texts: list[str], toxic: np.ndarray) -> list[str]:
     return kept[:FEATURES]
 
 
+def count_features(texts: Iterable[Iterable[str]], toxic: Iterable[bool]) -> dict[str, tuple[int, int]]:
+    """Of the words of texts: by feature, how many toxic and other texts hold it."""
+    have = (Counter(), Counter())
+    for w, y in zip(texts, toxic):
+        have[int(y)].update({p for x in w for p in parts(x)})
+    return {f: (have[1][f], have[0][f]) for f in have[0].keys() | have[1].keys()}
+
+
+def hold(w: Iterable[str], column: dict[str, int]) -> list[int]:
+    """Columns of the features that words hold, once per word."""
+    return sorted(column[p] for x in w for p in parts(x) if p in column)
+
+
+def dense(rows: list[list[int]], width: int) -> np.ndarray:
+    x = np.zeros((len(rows), width), np.float32)
+    for r, at in enumerate(rows):
+        for k in at:
+            x[r, k] += 1
+    return x
+
+
 def fit(texts: list[str], grades: list[int] | np.ndarray, names: list[str] | None = None, steps: int = STEPS, ridge: float = RIDGE) -> Ordinal:
-    """Maximum likelihood with a ridge, by Adam. Grades are whole numbers from 0; with fewer than two of them nothing exceeds 0."""
+    """fit_rows() of texts; grades are whole numbers from 0."""
     y = np.asarray(grades, np.int64)
+    w = [words(t) for t in texts]
+    names = choose(count_features(w, y > 0), int((y > 0).sum()), int((y <= 0).sum())) if names is None else names
+    column = {f: i for i, f in enumerate(names)}
+    return fit_rows([hold(x, column) for x in w], y, names, steps, ridge)
+
+
+def fit_rows(rows: list[list[int]], y: np.ndarray, names: list[str], steps: int = STEPS, ridge: float = RIDGE) -> Ordinal:
+    """Maximum likelihood with a ridge, by Adam. rows: features of each text. With fewer than two grades nothing exceeds 0."""
     top = int(y.max()) if len(y) else 0
     if top < 1 or y.min() == top:
         return Ordinal({}, (40.0,))
-    names = features(texts, y > 0) if names is None else names
-    column = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(texts), len(names)), np.float32)
-    for r, t in enumerate(texts):
-        for w in words(t):
-            for p in parts(w):
-                if p in column:
-                    x[r, column[p]] += 1
-    weight = np.zeros(len(names), np.float32)
-    first, gaps = 0.0, np.zeros(top - 1)
+    x = dense(rows, len(names))
     each = len(y) / (top + 1) / np.maximum(1, np.bincount(y, minlength=top + 1))[y]  # grades weigh alike
     params = np.zeros(len(names) + top)
     m, v = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, steps + 1):
-        weight, first, gaps = params[: len(names)], params[len(names)], np.exp(params[len(names) + 1 :])
-        t = first + np.concatenate([[0.0], np.cumsum(gaps)])
-        z = (x @ weight.astype(np.float32)).astype(np.float64)
-        p = 1 / (1 + np.exp(-np.clip(z[:, None] - t[None, :], -40, 40)))
-        # probability of the row's grade: upper (exceeds y-1) less lower (exceeds y)
-        upper = np.where(y > 0, p[np.arange(len(y)), np.maximum(y - 1, 0)], 1.0)
-        lower = np.where(y < top, p[np.arange(len(y)), np.minimum(y, top - 1)], 0.0)
-        like = np.maximum(upper - lower, 1e-9)
-        du, dl = upper * (1 - upper) * (y > 0), lower * (1 - lower) * (y < top)
-        g = each * (du - dl) / like / len(y)
-        gt = np.zeros(top)
-        np.add.at(gt, np.maximum(y - 1, 0), -each * du / like / len(y))
-        np.add.at(gt, np.minimum(y, top - 1), each * dl / like / len(y))
-        tail = np.cumsum(gt[::-1])[::-1]
-        grad = -np.concatenate([(g.astype(np.float32) @ x).astype(np.float64) - ridge * weight, [tail[0]], tail[1:] * gaps])
+        grad = -likelihood(params, x, y, top, each, ridge)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    weight, t = params[: len(names)], params[len(names)] + np.concatenate([[0.0], np.cumsum(np.exp(params[len(names) + 1 :]))])
+    weight, t = params[: len(names)], thresholds(params[len(names) :])
     p = 1 / (1 + np.exp(-np.clip(x @ weight.astype(np.float32) - t[0], -40, 40).astype(np.float64)))
     return Ordinal({f: float(w) for f, w in zip(names, weight) if abs(w) > 1e-4}, tuple(float(a) for a in t), best_cut(p, y > 0))
 
 
+def thresholds(params: np.ndarray) -> np.ndarray:
+    """The first threshold, and the logarithms of the gaps between neighbouring ones."""
+    return params[0] + np.concatenate([[0.0], np.cumsum(np.exp(params[1:]))])
+
+
+def likelihood(params: np.ndarray, x: np.ndarray, y: np.ndarray, top: int, each: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Mean log likelihood of the grades less the ridge, and its gradient. params: weights, then the thresholds."""
+    n = x.shape[1]
+    weight, t = params[:n], thresholds(params[n:])
+    z = (x @ weight.astype(x.dtype)).astype(np.float64)
+    p = 1 / (1 + np.exp(-np.clip(z[:, None] - t[None, :], -40, 40)))
+    # probability of the row's grade: upper (exceeds y-1) less lower (exceeds y)
+    upper = np.where(y > 0, p[np.arange(len(y)), np.maximum(y - 1, 0)], 1.0)
+    lower = np.where(y < top, p[np.arange(len(y)), np.minimum(y, top - 1)], 0.0)
+    like = np.maximum(upper - lower, 1e-9)
+    du, dl = upper * (1 - upper) * (y > 0), lower * (1 - lower) * (y < top)
+    g = each * (du - dl) / like / len(y)
+    gt = np.zeros(top)
+    np.add.at(gt, np.maximum(y - 1, 0), -each * du / like / len(y))
+    np.add.at(gt, np.minimum(y, top - 1), each * dl / like / len(y))
+    tail = np.cumsum(gt[::-1])[::-1]
+    return float((each * np.log(like)).mean() - ridge / 2 * weight @ weight), np.concatenate([(g.astype(x.dtype) @ x).astype(np.float64) - ridge * weight, [tail[0]], tail[1:] * np.exp(params[n + 1 :])])
+
+
 def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
     """The cut that makes the sum of both error rates least in the sample; in the widest gap where several do."""
     values = np.unique(p)
@@ -161,51 +189,90 @@ def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
     return float(cuts[np.lexsort((-gaps, errors.round(9)))[0]])
 
 
-def grade(texts: list[str], toxic: list[int], names: list[str]) -> list[int]:
-    """Grades 0, 1 and 2 from labels 0 and 1: toxic texts with more distinct indicator words than the median are 2. names: features, the strongest first."""
-    y = np.asarray(toxic) > 0
-    if not y.any() or y.all():
-        return [int(a) for a in y]
-    strong = set(names[:200])
-    many = np.array([sum(any(p in strong for p in parts(w)) for w in words(t)) if a else 0 for t, a in zip(texts, y)])
-    middle = np.median(many[y])
-    return [int(a) + int(a and b > middle) for a, b in zip(y, many)]
+def indicators(w: Iterable[str], strong: set[str]) -> int:
+    """How many words are, or begin with, one of the strong features."""
+    return sum(any(p in strong for p in parts(x)) for x in w)
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label_col: str = "toxic") -> Ordinal:
-    """Fit from labels (doc_id, label_col) of docs; rows with a null on either side take no part."""
-    ship(docs.sparkSession)
+def grade(toxic: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Grades 0, 1 and 2 from labels 0 and 1: toxic texts with more distinct indicator words than the median are 2."""
+    if not toxic.any() or toxic.all():
+        return toxic.astype(np.int64)
+    middle = np.median(many[toxic])
+    return toxic.astype(np.int64) + (toxic & (many > middle))
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label_col: str = "toxic") -> DataFrame:
+    """(y, h, k, words) of the sampled texts, written: label, hash, sketch and distinct words. Of rows that repeat an id or a text, and of labels that contradict each
+    other, the largest label counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
+    n = known.agg(F.count(F.when(F.col("y") > 0, 1)), F.count(F.when(F.col("y") <= 0, 1))).first()
     # a few times as many ids as are used, since copies of a text count once; picked by hash, each label on its own
-    picked = None
-    for part in (known.filter("y > 0"), known.filter("y <= 0")):
-        few = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
-        picked = few if picked is None else picked.unionByName(few)
-    got = project(docs).join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id").filter("text IS NOT NULL").select("text", "y").collect()
-    seen: dict[tuple, tuple[str, int]] = {}
-    for t, y in sorted(((r[0], r[1]) for r in got), key=lambda x: (hash_of(x[0]), x)):
-        k = sketch(t)
-        seen[k] = (seen[k][0], max(y, seen[k][1])) if k in seen else (t, y)
-    by_hash = list(seen.values())
-    use = [x for x in by_hash if x[1] > 0][:rows] + [x for x in by_hash if x[1] <= 0][:rows]
-    texts, y = [t for t, _ in use], [a for _, a in use]
-    names = features(texts, np.asarray(y, np.int64) > 0)
-    return fit(texts, y if any(a > 1 for a in y) else grade(texts, y, names), names)
+    share = [min(1.0, 3 * rows / max(1, x)) for x in n]
+    ids = known.filter(F.when(F.col("y") > 0, hash_below("doc_id", share[0])).otherwise(hash_below("doc_id", share[1]))).select("doc_id").distinct()
+    picked = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"))
+    held = project(docs).join(F.broadcast(picked), "doc_id").filter("text IS NOT NULL").select("y", "text")
+
+    def make():
+        def f(b: pa.RecordBatch) -> pa.RecordBatch:
+            texts = as_text(b.column(1))
+            cols = [b.column(0), pa.array(map(hash_of, texts), pa.uint64()).view(pa.int64()), pa.array(map(sketch, texts), pa.binary()), pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(cols, ["y", "h", "k", "words"])
+
+        return f
+
+    described = by_row(held, "y int, h long, k binary, words array<string>", make)
+    each = described.groupBy("k").agg(F.max("y").alias("y"), F.min_by(F.struct("h", "words"), "h").alias("s")).select("y", "s.h", "k", "s.words")
+    rank = F.row_number().over(Window.partitionBy(F.col("y") > 0).orderBy("h", "k"))
+    return materialise(each.withColumn("r", rank).filter(F.col("r") <= rows).drop("r"), "op6-sample")
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label_col: str = "toxic") -> Ordinal:
+    """Fit from labels (doc_id, label_col) of docs; rows with a null on either side take no part. The same tables give the same model."""
+    ship(docs.sparkSession)
+    used = sample(docs, labels, rows, label_col)
+    n = used.agg(F.count(F.when(F.col("y") > 0, 1)), F.count(F.when(F.col("y") <= 0, 1)), F.max("y")).first()
+    if not n[0] or not n[1]:
+        return Ordinal({}, (40.0,))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            have = count_features(b.column(1).to_pylist(), [y > 0 for y in b.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string()), pa.array([x for x, _ in have.values()], pa.int64()), pa.array([x for _, x in have.values()], pa.int64())], ["f", "a", "b"])
+
+    a, b, ones = F.col("a"), F.col("b"), F.lit(1.0)
+    sums = used.select("y", "words").mapInArrow(count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(a + b >= MIN_TEXTS)
+    # a little below the bounds that choose() draws, so that rounding doesn't decide here
+    far = F.abs(a / n[0] - b / n[1]) / F.sqrt(F.greatest((a + b) / (n[0] + n[1]) * (ones - (a + b) / (n[0] + n[1])), F.lit(1e-12)) * (1 / n[0] + 1 / n[1])) >= ERRORS * 0.999
+    counts = {r.f: (r.a, r.b) for r in sums.filter(far).collect()}
+    names = choose(counts, n[0], n[1])
+    column, strong = {f: i for i, f in enumerate(names)}, set(names[:200])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = b.column(3).to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([hold(x, column) for x in w], pa.list_(pa.int32())), pa.array([indicators(x, strong) for x in w], pa.int64())], ["y", "h", "k", "at", "many"])
+
+    got = sorted(used.mapInArrow(held, "y int, h long, k binary, at array<int>, many long").collect(), key=lambda r: (r.h, r.k))
+    y = np.array([r.y for r in got], np.int64)
+    return fit_rows([r.at for r in got], y if n[2] > 1 else grade(y > 0, np.array([r.many for r in got])), names)
 
 
 def hash_of(text: str, seed: int = 0) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
 
 
-def sketch(text: str) -> tuple:
-    """The two least hashes of the text's 3-word sequences; the text itself where there are none."""
+def sketch(text: str) -> bytes:
+    """The two least hashes of the text's 3-word sequences; where there are none, the text's own hash."""
     w = text.lower().split()
-    return tuple(nsmallest(2, {hash_of(" ".join(x)) for x in zip(w, w[1:], w[2:])})) or (text,)
+    least = nsmallest(2, {hash_of(" ".join(x)) for x in zip(w, w[1:], w[2:])})
+    return b"".join(x.to_bytes(8, "big") for x in least) or hash_of(text).to_bytes(8, "big") + hash_of(text, 1).to_bytes(8, "big") + b"t"
 
 
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, expected_severity double, p_toxic double, toxic boolean) of every row.
 
+    expected_severity: the sum of the probabilities of exceeding each grade; above 1 it tells how much of what was learnt a toxic text holds, not a labelled grade.
     toxic: the probability of a grade above 0 is at least the model's cut. Null and empty texts hold no features and get the score of a text without any; repeated
     rows are scored each; other columns are ignored; an empty table gives an empty one.
     """
@@ -234,6 +301,7 @@ def is_toxic(model: Ordinal):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """score() by what learn() gives of the same table: nulls, empty texts, ties, repeated rows and empty tables as there. Without labels of both kinds nothing is toxic."""
     return score(docs, learn(docs, labels))
 
 

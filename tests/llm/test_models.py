@@ -121,6 +121,75 @@ def test_gradient_of_likelihood_improves():
     assert p[0] < m.cut < p[1]
 
 
+def slow_parts(word):
+    return [word] + [word[:k] + "*" for k in range(3, 8) if len(word) > k]
+
+
+def test_likelihood_by_definition():
+    """The mean log probability of the grades, and its gradient by differences."""
+    rng = np.random.default_rng(4)
+    x, y, top = rng.integers(0, 3, (40, 5)).astype(np.float64), rng.integers(0, 4, 40), 3
+    each, ridge = rng.random(40) + 0.5, 0.01
+    params = rng.normal(0, 0.5, 5 + top)
+
+    def slow(q):
+        t = [q[5], q[5] + np.exp(q[6]), q[5] + np.exp(q[6]) + np.exp(q[7])]
+        total = 0.0
+        for row, grade, e in zip(x, y, each):
+            over = [1.0] + [1 / (1 + np.exp(-(row @ q[:5] - a))) for a in t] + [0.0]
+            total += e * np.log(over[grade] - over[grade + 1])
+        return total / len(y) - ridge / 2 * sum(a * a for a in q[:5])
+
+    value, gradient = T.likelihood(params, x, y, top, each, ridge)
+    assert value == pytest.approx(slow(params), abs=1e-9)
+    for k in range(len(params)):
+        step = np.eye(len(params))[k] * 1e-6
+        assert gradient[k] == pytest.approx((slow(params + step) - slow(params - step)) / 2e-6, abs=1e-6)
+
+
+def test_toxicity_query_by_brute_force(spark):
+    """Sample, features, grades and fit on the driver alone, then each document's severity by the formula."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    seen = {}
+    for r in labels.collect():
+        t = texts[r.doc_id]
+        k, h = T.sketch(t), int(np.uint64(T.hash_of(t)).astype(np.int64))
+        old = seen.get(k)
+        seen[k] = (min(h, old[0]), max(r.toxic, old[1]), t if not old or h < old[0] else old[2]) if old else (h, r.toxic, t)
+    used = sorted((h, y, t) for h, y, t in seen.values())
+    bags = [set(re.findall(r"[^\W_]+", t.lower())) for _, _, t in used]
+    y = np.array([a for _, a, _ in used])
+    counts = {}
+    for bag, a in zip(bags, y):
+        for f in {p for w in bag for p in slow_parts(w)}:
+            u, v = counts.get(f, (0, 0))
+            counts[f] = (u + int(a > 0), v + int(a <= 0))
+    names = T.choose(counts, int((y > 0).sum()), int((y <= 0).sum()))
+    many = np.array([sum(any(p in names[:200] for p in slow_parts(w)) for w in bag) for bag in bags])
+    grades = [0 if a <= 0 else 2 if m > np.median(many[y > 0]) else 1 for a, m in zip(y, many)]
+    want = T.fit([t for _, _, t in used], grades, names)
+    got = T.learn(docs, labels)
+    assert len(names) >= 3 and want.weights.keys() == got.weights.keys()
+    assert all(got.weights[f] == pytest.approx(w, abs=1e-3) for f, w in want.weights.items()) and got.thresholds == pytest.approx(want.thresholds, abs=1e-3)
+    assert T.learn(docs, labels.union(labels).repartition(5)) == got
+    rows = T.toxicity(docs, labels).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        z = sum(got.weights.get(p, 0.0) for w in set(re.findall(r"[^\W_]+", texts[r.doc_id].lower())) for p in slow_parts(w))
+        over = [1 / (1 + np.exp(-(z - t))) for t in got.thresholds]
+        assert r.expected_severity == pytest.approx(sum(over), abs=1e-9) and r.toxic == (over[0] >= got.cut)
+
+
+def test_labels_that_contradict_each_other(spark):
+    bad = [(i, f"w{i} vile awful x{i}") for i in range(40)]
+    good = [(100 + i, f"w{i} kind gentle y{i}") for i in range(40)]
+    docs = spark.createDataFrame(bad + good, "doc_id long, text string")
+    labels = [(i, 1) for i, _ in bad] + [(i, 0) for i, _ in good] + [(i, 0) for i, _ in bad[:5]]
+    models = [T.learn(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, labels[::-1])]
+    assert models[0] == models[1] and models[0].weights
+
+
 def test_toxicity_on_labels(spark):
     sf = SF.replace("0.01", "0.1")
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
