@@ -3,25 +3,29 @@
 Texts are equal when identical after lower-casing A-Z; of equal texts the row with the largest id stays.
 
  1. One pass over the text writes (doc_id, digest, incoming): SHA-256 of the normalised text. Nothing else carries text.
- 2. The older ids are the immutable snapshot: one row per digest (its exact bucket: largest id, number of rows), and per shard of
+ 2. A snapshot is immutable and written once: one row per digest (its exact bucket: largest id, number of rows), and per shard of
     digests a binary-fuse filter. Shards are ranges of the digest, as many as keep each at SHARD_KEYS, so a filter's build is bounded.
+    A table without a snapshot is its own: the older half of its ids.
  3. The incoming rows are grouped among themselves first (partial aggregation before the shuffle, so a hot text costs one row per task).
- 4. Each incoming digest is screened by its shard's filter; negatives are new for certain, positives join the exact bucket.
- 5. Texts of groups of two or more are fetched again and compared byte for byte with the text of the row that stays, salted so that the
-    copies of one text are spread over tasks. Should texts differ under one digest, such groups are formed anew by the text itself.
+ 4. Each incoming digest is screened by its shard's filter; negatives are new for certain, positives join the exact bucket. There are as many positives as
+    digests of both sides, and a few false ones, so the snapshot's buckets aren't shuffled while these are small.
+ 5. Texts of groups of two or more are fetched again and compared byte for byte with the text of the row that stays. Narrow rows find their group and get a
+    salt first, hot groups salted in that join too; a text moves only with its salt, so that the copies of one text are spread over tasks.
+    Should texts differ under one digest, such groups are formed anew by the text itself.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_row, keep_ids, materialise, project, ship, small
+from .common import as_bytes, by_row, join_hot, keep_ids, materialise, project, ship, small
 
 #: Keys of a filter's shard.
 SHARD_KEYS = 65_536
@@ -155,27 +159,57 @@ def build_filters(snapshot: DataFrame) -> DataFrame:
     return snapshot.groupBy("shard").applyInArrow(build, "shard int, filter binary")
 
 
-def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
-    """incoming (digest, shard, last, n) with maybe: whether the shard's filter holds the digest."""
+@dataclass(frozen=True)
+class Snapshot:
+    """Written tables: buckets (digest, last, n) and, of shards of their digests, filters (shard, filter)."""
+
+    buckets: DataFrame
+    filters: DataFrame
+    shards: int
+
+
+def _per_digest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("digest").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def _shard(shards: int):
+    return (F.conv(F.hex(F.substring("digest", 9, 4)), 16, 10).cast("long") % F.lit(shards)).cast("int")
+
+
+def snapshot(rows: DataFrame) -> Snapshot:
+    """Of rows (doc_id, digest), to be used for any number of incoming batches; rows without an id aren't part of it."""
+    buckets = materialise(_per_digest(rows.filter(F.col("doc_id").isNotNull())), "op8-buckets")
+    shards = max(1, -(-buckets.count() // SHARD_KEYS))
+    return Snapshot(buckets, materialise(build_filters(buckets.select(_shard(shards).alias("shard"), "digest")), "op8-filters"), shards)
+
+
+def snapshot_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Digest = sha256) -> Snapshot:
+    """snapshot() of a table of texts."""
+    ship(docs.sparkSession)
+    return snapshot(digests(project(docs, id_col, text_col), digest))
+
+
+def screen(rows: DataFrame, old: Snapshot) -> DataFrame:
+    """(digest, last, n, maybe) of the digests of incoming rows (doc_id, digest), written; maybe: whether the snapshot's filter holds the digest."""
 
     def probe(rows: pa.Table, f: pa.Table) -> pa.Table:
         rows = rows.select(["digest", "last", "n"])
         hit = BinaryFuse.load(f.column("filter")[0].as_py()).contains(_keys(rows.column("digest").combine_chunks())) if f.num_rows and rows.num_rows else np.zeros(rows.num_rows, bool)
         return rows.append_column("maybe", pa.array(hit, pa.bool_()))
 
-    return incoming.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(probe, "digest binary, last long, n long, maybe boolean")
+    by_shard = _per_digest(rows).withColumn("shard", _shard(old.shards)).groupBy("shard")
+    return materialise(by_shard.cogroup(old.filters.groupBy("shard")).applyInArrow(probe, "digest binary, last long, n long, maybe boolean"), "op8-screened")
 
 
-def groups(rows: DataFrame) -> DataFrame:
-    """(digest, last, n) of all digests of rows (doc_id, digest, incoming), the incoming ones screened by the snapshot's filters."""
-    per = lambda d: d.groupBy("digest").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    old = materialise(per(rows.filter(~F.col("incoming"))), "op8-snapshot")
-    shards = max(1, -(-old.count() // SHARD_KEYS))
-    shard = (F.conv(F.hex(F.substring("digest", 9, 4)), 16, 10).cast("long") % F.lit(shards)).cast("int")
-    filters = build_filters(old.select(shard.alias("shard"), "digest"))
-    new = materialise(screen(per(rows.filter("incoming")).withColumn("shard", shard), filters), "op8-screened")
-    met = new.filter("maybe").select("digest", F.col("last").alias("last2"), F.col("n").alias("n2"))
-    both = old.join(met, "digest", "full_outer").select("digest", F.greatest("last", "last2").alias("last"), (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).cast("long").alias("n"))
+def groups(rows: DataFrame, old: Snapshot) -> DataFrame:
+    """(digest, last, n) of all digests of the snapshot and of incoming rows (doc_id, digest)."""
+    new = screen(rows, old)
+    met = materialise(new.filter("maybe").select("digest", F.col("last").alias("last2"), F.col("n").alias("n2")), "op8-met")
+    if small(met):  # the buckets stay where they are
+        both = old.buckets.join(F.broadcast(met), "digest", "left").unionByName(met.join(old.buckets.select("digest"), "digest", "left_anti"), allowMissingColumns=True)
+    else:
+        both = old.buckets.join(met, "digest", "full_outer")
+    both = both.select("digest", F.greatest("last", "last2").alias("last"), (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).cast("long").alias("n"))
     return both.unionByName(new.filter(~F.col("maybe")).select("digest", "last", "n"))
 
 
@@ -192,34 +226,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     middle = 0 if bounds[0] is None else bounds[0] + (bounds[1] - bounds[0]) // 2
     rows = materialise(digests(src, digest).withColumn("incoming", F.coalesce(F.col("doc_id") > F.lit(middle), F.lit(False))), "op8-digests")
     known = rows.filter(F.col("doc_id").isNotNull())
-    several = materialise(groups(known).filter("n > 1"), "op8-groups")
-    few = small(several)
+    every = materialise(groups(known.filter("incoming"), snapshot(known.filter(~F.col("incoming")))), "op8-groups")
+    several = materialise(every.filter("n > 1"), "op8-several")
 
     # byte checks: texts of groups of several rows against the text that stays, the copies spread by salt
-    members = materialise(_with_group(known, several, few).filter("n > 1").select("doc_id").distinct(), "op8-members")
-    texts = _normalised(keep_ids(src, members, "left_semi"), digest)
-    texts = _with_group(texts, several, few, salted=True)
-    stays = texts.filter(F.col("doc_id") == F.col("last")).dropDuplicates(["digest"]).select("digest", F.col("text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    found = join_hot(known.select("doc_id", "digest"), several, "digest", F.col("doc_id")).select("doc_id", "digest", "last", "n").distinct()
+    members = materialise(found.withColumn("salts", F.ceil(F.col("n") / F.lit(COPIES_PER_SALT)).cast("int")), "op8-members")
+    texts = _normalised(keep_ids(src, members.select("doc_id").distinct(), "left_semi"), digest).withColumn("part", F.spark_partition_id())  # rows that repeat an id are spread too
+    texts = texts.join(F.broadcast(members) if small(members) else members.hint("shuffle_hash"), ["doc_id", "digest"]).withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.col("salts")).cast("int"))
+    stays = texts.filter(F.col("doc_id") == F.col("last")).groupBy("digest", "salts").agg(F.min("text").alias("kept_text")).select("digest", "kept_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     compared = texts.join(stays, ["digest", "salt"]).select("doc_id", "digest", "last", "n", (F.col("text") == F.col("kept_text")).alias("same"), F.when(F.col("text") != F.col("kept_text"), F.col("text")).alias("other"))
     compared = materialise(compared, "op8-compared")
     if compared.filter(~F.col("same")).head(1):
         regrouped = compared.groupBy("digest", "other").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
         compared = compared.drop("last", "n").join(regrouped.withColumnsRenamed({"digest": "of", "other": "body"}), F.expr("digest = of AND other <=> body")).select("doc_id", "digest", "last", "n")
     multi = compared.select("doc_id", F.col("last").alias("keep_id"), F.col("n").alias("group_size"), (F.col("doc_id") == F.col("last")).alias("kept"), "digest")
-    single = rows.filter(F.col("doc_id").isNull()).select("doc_id", "digest").unionByName(_with_group(known, several, few).filter(F.col("n").isNull()).select("doc_id", "digest"))
+    single = rows.filter(F.col("doc_id").isNull()).select("doc_id", "digest").unionByName(every.filter("n = 1").select(F.col("last").alias("doc_id"), "digest"))
     out = multi.unionByName(single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def _with_group(rows: DataFrame, several: DataFrame, few: bool, salted: bool = False) -> DataFrame:
-    """rows (with digest) left joined with its group (last, n); salted: also with salts, the group's number of salts, and the row's salt."""
-    out = rows.join(F.broadcast(several) if few else several, "digest", "left")
-    if salted:
-        salts = F.ceil(F.col("n") / F.lit(COPIES_PER_SALT)).cast("int")
-        out = out.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    return out
-
-
 def _normalised(docs: DataFrame, digest: Digest) -> DataFrame:
     """(doc_id, digest, text) with normalised texts."""
 

@@ -8,7 +8,7 @@
     have begun in an earlier one; its first row is handed on unresolved, with the partition's number and last hash. Those few rows (one per
     partition, and its repeats of a doc_id) are resolved by a join among them.
  4. Dropped positions per document and text become a bitmap of kept lines, compressed. Where the text is wanted, documents are joined with their bitmaps
-    (broadcast if few, else by shuffle with the bitmaps hashed) and cut.
+    (broadcast if they are small, else by shuffle with the bitmaps hashed) and cut.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ def drops(docs: DataFrame) -> DataFrame:
     continued = heads.join(F.broadcast(before), ["h", "l"]).filter("of < part")
     sure = out.filter("first = false").select("doc_id", "t", "at")
     both = sure.unionByName(continued.select("doc_id", "t", "at"))
-    return both.groupBy("doc_id", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
+    return both.groupBy("doc_id", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("at"))  # a set: rows that repeat a document add nothing
 
 
 def pack(at: list[int]) -> bytes:

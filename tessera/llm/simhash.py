@@ -12,7 +12,7 @@ anchor: the threshold is shared between the two sides rather than put on one of
 
 Copies never multiply: rows are first grouped by fingerprint (with partial aggregation), and only distinct fingerprints are replicated and
 compared. An anchor holds only distinct fingerprints within a few bits of it; its comparison is a sort-merge join that streams, spills and is
-split by AQE if skewed.
+split by AQE if skewed. Where rows get back what is known of their fingerprint, fingerprints that many rows share are salted.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_row, materialise, project, ship
+from . import common
+from .common import as_bytes, by_row, join_hot, materialise, project, ship
 
 THRESHOLD = 2
 SEED = 42
@@ -148,7 +149,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b), a < b: pairs of distinct fingerprints that differ in 1 to threshold bits, each once."""
     if not 0 <= threshold <= 2:
         raise ValueError("the anchors cover thresholds up to 2")
-    at = replicate(fps)
+    at = materialise(replicate(fps), "op2-anchors")  # read by both sides
     pair = at.select("anchor", F.col("fp").alias("a")).join(at.select("anchor", F.col("fp").alias("b")), "anchor")
     return pair.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b").distinct()
 
@@ -157,17 +158,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(v, root) for every vertex of edges (u, v): the smallest vertex of its component.
 
     Alternates large-star and small-star steps until the edges no longer change; each step is two shuffles of the edges, aggregated before
-    them, and is written to the shared folder. Stars of any size are aggregated and joined, never collected.
+    them, and is written to the shared folder. Stars of any size are aggregated and joined, never collected; a hub of more than HOT_ROWS edges is salted.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         # e has u > v. Large: every neighbour larger than u goes to the least of u and its neighbours. Small: the smaller ones, and u, do.
         # The hub is then the least vertex for all, so edges (x, least) with x > least remain.
         arcs = e.select(F.col("u").alias("at"), F.col("v").alias("to"))
         if large:
             arcs = arcs.unionByName(e.select(F.col("v").alias("at"), F.col("u").alias("to")))
-        least = arcs.groupBy("at").agg(F.min("to").alias("least")).withColumn("least", F.least("at", "least"))
-        hung = arcs.join(least, "at")
+        least = arcs.groupBy("at").agg(F.min("to").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("least", F.least("at", "least"))
+        hung = arcs.join(least, "at") if 2 * n <= common.HOT_ROWS else join_hot(arcs, materialise(least, name), "at", F.col("to"))
         if large:
             out = hung.filter(F.col("to") > F.col("at")).select(F.col("to").alias("u"), F.col("least").alias("v"))
         else:
@@ -180,7 +181,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     e = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), name)
     was = state(e)
     while was[0]:
-        e = materialise(star(star(e, True), False), name)
+        e = materialise(star(star(e, True, was[0]), False, 2 * was[0]), name)  # a step has at most an edge per arc
         now = state(e)
         if now == was:
             break
@@ -207,5 +208,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = root.join(each.select(F.col("fp").alias("v"), "first"), "v").groupBy("root").agg(F.min("first").alias("component_id"))
     root = root.join(ids, "root").select(F.col("v").alias("fp"), "component_id")
     linked = near.withColumnRenamed("a", "fp").join(root, "fp")
-    about = each.join(linked, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_near"), F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(about, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+    about = each.join(linked, "fp", "left").select("fp", "n", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_near"), F.coalesce("component_id", "first").alias("component_id"))
+    # a fingerprint that many rows share, as all empty texts do, is salted
+    return join_hot(rows, materialise(about, "op2-about"), "fp", F.col("doc_id")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")

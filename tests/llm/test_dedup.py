@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from tessera.llm import common
 from tessera.llm import exact_dedup as E
 from tessera.llm import line_dedup as L
 from tessera.llm import simhash as S
@@ -49,6 +50,50 @@ def test_exact_odd_tables(from_rows, make):
     assert sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in got) == [(-1, -1, 1, True), (-1, -1, 1, True), (1, 2, 3, False), (2, 2, 3, True), (2, 2, 3, True)]
 
 
+@pytest.fixture
+def nothing_is_small(monkeypatch):
+    """Every join is shuffled, and keys of more than three rows are salted."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(E, "COPIES_PER_SALT", 4)
+
+
+def test_shuffled_joins_give_the_same(nothing_is_small, make, odd, sample, from_rows):
+    texts = [t for t in odd if t is None or "\x00" not in t] + copies(sample) + ["shared line of many\nown"] * 20 + [None] * 9
+    docs, rows = make(texts), list(enumerate(texts))
+    check_exact(rows, E.exact_dedup(docs).collect())
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in L.line_dedup(docs).collect()}
+    assert got == slow_lines(rows)
+    fps = {i: S.fingerprint((t or "").encode()) for i, t in rows}
+    assert {r.doc_id: (r.n_near, r.component_id) for r in S.near_dedup(docs).collect()} == slow_near(fps)
+    repeated = from_rows([(1, "same text of all")] * 30 + [(2, "Same text of all"), (3, "else"), (None, "else")])
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in E.exact_dedup(repeated).collect()} == {(1, 2, 31), (2, 2, 31), (3, 3, 1), (None, None, 1)}
+
+
+def test_join_hot_is_a_join(nothing_is_small, spark):
+    rows = spark.createDataFrame([(i, k) for k, n in enumerate((1, 3, 4, 50)) for i in range(n)], "i long, k long")
+    about = common.materialise(rows.groupBy("k").agg({"i": "count"}).withColumnRenamed("count(i)", "n").filter("k > 0"), "about")
+    got = common.join_hot(rows, about, "k", rows.i).select("i", "k", "n").collect()
+    assert sorted(map(tuple, got)) == sorted((r.i, r.k, (1, 3, 4, 50)[r.k]) for r in rows.collect() if r.k)
+
+
+def test_bytes_decide_what_is_small(spark):
+    df = spark.createDataFrame([("x" * 1000, [1, 2], bytearray(500))] * 10 + [(None, None, None)], "t string, a array<int>, b binary")
+    assert not common.small(df, 15_000) and common.small(df, 17_000) and common.small(df.limit(0), 0)
+
+
+def test_snapshot_serves_several_batches(make, sample):
+    docs = make([t for _, t in sample])
+    old = E.snapshot_of(docs)
+    for batch in ([t for _, t in sample[:20]] + ["new one", "new one"], ["NEW two", "new two"]):
+        rows = common.materialise(E.digests(common.project(make(batch, 10_000))), "batch")
+        got = {bytes(r.digest): (r.last, r.n) for r in E.groups(rows, old).collect()}
+        want = defaultdict(list)
+        for i, t in [*((i, t) for i, t in enumerate(t for _, t in sample)), *((10_000 + i, t) for i, t in enumerate(batch))]:
+            want[hashlib.sha256(t.translate(LOWER).encode()).digest()].append(i)
+        assert got == {k: (max(v), len(v)) for k, v in want.items()}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 1000, 40_000])
 def test_filter_has_no_false_negatives(n):
     rng = np.random.default_rng(n)
@@ -83,12 +128,18 @@ def slow_near(fps):
 def test_simhash(make, odd, sample):
     texts = odd + [t for _, t in sample] + [sample[0][1] + " tail", sample[1][1].upper(), "one two", "two one"]
     got = S.near_dedup(make(texts)).collect()
-    fps = {i: slow_fingerprint(t) if len(t or "") < 20_000 else S.fingerprint(t.encode()) for i, t in enumerate(texts)}
+    fps = {i: slow_fingerprint(t) for i, t in enumerate(texts)}
     assert {r.doc_id: r.fingerprint for r in got} == {i: f"{x:016x}" for i, x in fps.items()}
     assert {r.doc_id: (r.n_near, r.component_id) for r in got} == slow_near(fps)
     assert len(got) == len(texts)
 
 
+def test_fingerprint_of_a_text_of_several_chunks():
+    rng = np.random.default_rng(8)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 5_000, 70_000))
+    assert text.count(" ") > S.CHUNK and S.fingerprint(text.encode()) == slow_fingerprint(text)
+
+
 def test_chains_of_links(spark):
     """Links of planted fingerprints: chains, bursts and far ones, against all pairs."""
     rng = np.random.default_rng(1)
@@ -142,7 +193,7 @@ def slow_lines(rows):
 
 def test_lines(make, odd, sample):
     shared = "A line that many documents SHARE"
-    texts = [t for t in odd if t is None or "\x00" not in t] + [t for _, t in sample] + [f"own line number {i}\n  {shared.lower()}\t\nend\n{shared}" for i in range(200)] + ["ÄÄÄÄÄÄÄÄÄÄ\nx", "ÄÄÄÄÄÄÄÄÄÄ", "ääääääääää", "123456789\n123456789", "123456789"]
+    texts = odd + [t for _, t in sample] + [f"own line number {i}\n  {shared.lower()}\t\nend\n{shared}" for i in range(200)] + ["ÄÄÄÄÄÄÄÄÄÄ\nx", "ÄÄÄÄÄÄÄÄÄÄ", "ääääääääää", "123456789\n123456789", "123456789"]
     rows = list(enumerate(texts))
     got = L.line_dedup(make(texts), with_text=True).collect()
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in got} == slow_lines(rows)
