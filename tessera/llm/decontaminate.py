@@ -14,8 +14,8 @@ The search is exact and goes in three steps, each of which only leaves out what
     two thirds and the rest of the words) must each have VERIFY of their 3-word sequences there. One changed word takes up to three of those,
     so a part of two to SHORT - 1 words is also held if it stands there with one word changed, missing or added.
 
-The index goes to every task, in pieces of at most ITEM_ROWS items and ITEM_CHARS characters; a larger benchmark is searched piece by piece.
-The corpus is read once per piece and nothing is shuffled.
+The index goes to every task, in pieces of at most ITEM_ROWS items and ITEM_CHARS characters. Up to PIECES pieces are broadcast together and searched in one pass over
+the corpus; a benchmark beyond that, of some 30,000 items, takes a pass per so many. The driver holds one such group of pieces at a time. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_text, by_row, project, ship
@@ -48,9 +49,11 @@ GROUPS = 256
 PAIRS = 32_768
 ITEM_ROWS = 2_000
 ITEM_CHARS = 400_000
+PIECES = 16
 _WORD = re.compile(r"\w+")
-_INDEXES: dict[tuple, "Index"] = {}
+_INDEXES: dict[tuple, list["Index"]] = {}
 Item = tuple[int | None, str, str]  # id, question, answer
+Pieces = tuple[tuple[Item, ...], ...]
 
 
 def words(text: str) -> list[str]:
@@ -137,11 +140,12 @@ class Index:
         self.block_max = [[max(x[a : a + POSTINGS]) for a in range(0, len(x), POSTINGS)] for x in self.impact]
 
     @classmethod
-    def load(cls, items: tuple[Item, ...]) -> "Index":
-        key = (len(items), hash(items))
+    def load(cls, pieces: Pieces) -> list["Index"]:
+        """The indexes of a group of pieces; a worker keeps those of the group it used last."""
+        key = tuple((len(p), hash(p)) for p in pieces)
         if key not in _INDEXES:
             _INDEXES.clear()
-            _INDEXES[key] = cls(items)
+            _INDEXES[key] = [cls(p) for p in pieces]
         return _INDEXES[key]
 
     def wand(self, terms: list[int], threshold: float = RETRIEVE) -> list[tuple[int, float]]:
@@ -290,16 +294,27 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
         yield tuple(piece)
 
 
-def search(docs: DataFrame, items: tuple[Item, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grouped(pieces: Iterator[tuple[Item, ...]]) -> Iterator[Pieces]:
+    """As many pieces at a time as are searched together."""
+    while group := tuple(islice(pieces, PIECES)):
+        yield group
+
+
+def search(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap): a row per document and item of the pieces that it holds. Null and empty texts hold none, nor does an
+    empty group of pieces give any; a repeated document repeats its rows; other columns are ignored."""
+    shipped = docs.sparkSession.sparkContext.broadcast(pieces)
+
     def make():
-        index = Index.load(items)
+        indexes = Index.load(shipped.value)
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             rows: list[tuple] = []
             texts, ids = as_text(b.column(1)), b.column(0).to_pylist()
             for a in range(0, len(texts), 512):
-                for d, hits in zip(ids[a : a + 512], index.search(texts[a : a + 512])):
-                    rows += [(d, items[h.item][0], h.score, h.question, h.answer) for h in hits]
+                for index in indexes:
+                    for d, hits in zip(ids[a : a + 512], index.search(texts[a : a + 512])):
+                        rows += [(d, index.items[h.item][0], h.score, h.question, h.answer) for h in hits]
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             cols = list(zip(*rows)) if rows else [[]] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -316,16 +331,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame
     each reported, and one without an id with a null item_id; other columns are ignored; an empty table on either side gives an empty result.
     """
     ship(docs.sparkSession)
-    parts = [search(docs, p) for p in items_of(benchmark, **columns)] or [search(docs, ())]
+    parts = [search(docs, p) for p in grouped(items_of(benchmark, **columns))] or [search(docs, ())]
     return reduce(DataFrame.unionByName, parts)
 
 
-def is_contaminated(items: tuple[Item, ...]):
-    """A column function: text -> boolean, for filters."""
+def is_contaminated(spark: SparkSession, pieces: Pieces):
+    """A column function: text -> boolean, for filters. A text counts as soon as one piece has an item that it holds."""
+    shipped = spark.sparkContext.broadcast(pieces)
 
     @F.arrow_udf("boolean")
     def f(text: pa.Array) -> pa.Array:
-        index, texts = Index.load(items), as_text(text)
-        return pa.array([bool(h) for a in range(0, len(texts), 512) for h in index.search(texts[a : a + 512])], pa.bool_())
+        indexes, texts, out = Index.load(shipped.value), as_text(text), []
+        for a in range(0, len(texts), 512):
+            held = [False] * len(texts[a : a + 512])
+            for index in indexes:
+                held = [x or bool(h) for x, h in zip(held, index.search(texts[a : a + 512]))]
+            out += held
+        return pa.array(out, pa.bool_())
 
     return f

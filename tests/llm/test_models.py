@@ -234,6 +234,85 @@ def test_finds_every_whole_item(spark, bench):
     assert all(r.score >= D.RETRIEVE - 1e-6 and r.question_overlap >= D.VERIFY and r.answer_overlap >= D.VERIFY for r in got)
 
 
+def one_edit(a, b):
+    """Whether at most one word is changed, missing or added."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k + 1 :] == b[k + 1 :]
+
+
+def slow_search(items, text):
+    """Every passage against every item by the formula; a retrieved item's parts by their definition."""
+    split = lambda t: re.findall(r"\w+", t.lower())
+    entries = []
+    for i, (_, q, a) in enumerate(items):
+        w = split(q) + split(a)
+        entries += [(i, w[k : k + 64]) for k in (range(0, max(1, len(w) - 32), 32) if len(w) > 64 else [0])]
+    mean = sum(len(e) for _, e in entries) / len(entries)
+    df = {}
+    for _, e in entries:
+        for t in set(e):
+            df[t] = df.get(t, 0) + 1
+    weigh = lambda e, t: np.log(1 + (len(entries) - df[t] + 0.5) / (df[t] + 0.5)) * e.count(t) * 2.2 / (e.count(t) + 1.2 * (0.25 + 0.75 * len(e) / mean))
+    weights = [{t: weigh(e, t) for t in set(e)} for _, e in entries]
+
+    def there(part, near):
+        n = min(3, len(part))
+        shingles = {tuple(part[k : k + n]) for k in range(len(part) - n + 1)} if n else set()
+        have = {tuple(near[k : k + n]) for k in range(len(near) - n + 1)} if n else set()
+        if not shingles or len(shingles & have) >= 0.5 * len(shingles):
+            return True
+        return 2 <= len(part) < 8 and any(one_edit(part, near[k : k + m]) for m in (len(part) - 1, len(part), len(part) + 1) for k in range(len(near) - m + 1))
+
+    w, best = split(text), {}
+    for at in range(0, len(w), 64):
+        passage = set(w[at : at + 128])
+        for (i, _), x in zip(entries, weights):
+            score = sum(v for t, v in x.items() if t in passage) / sum(x.values())
+            if score >= 0.5 - 1e-9 and score > best.get(i, 0):
+                q, a = split(items[i][1]), split(items[i][2])
+                reach = max(64, len(q) + len(a))
+                near = w[max(0, at - reach) : at + 128 + reach]
+                if there(q, near) and there(a, near):
+                    best[i] = score
+    return best
+
+
+def test_search_by_brute_force(spark, bench):
+    """Whole documents, and such with items that are whole, cut, edited or spread, against every passage and item."""
+    rng = random.Random(5)
+    texts = [r.text or "" for r in table(spark, "/root/testdata/sf0.001", "documents").select("text").collect()]
+    filler = D.words(" ".join(texts))[:3_000]
+    for _, q, a in bench[:12]:
+        w = D.words(q) + D.words(a)
+        for part in (w, w[: len(w) * 2 // 3], w[len(w) // 4 :], [x for x in w if rng.random() > 0.15], [x if rng.random() > 0.2 else "zz" for x in w], rng.sample(w, len(w)), [y for x in w for y in (x, "zz")]):
+            at = rng.randrange(2_000)
+            texts.append(" ".join(filler[at : at + rng.randrange(200)] + part + filler[at + 300 : at + 300 + rng.randrange(200)]))
+    items = bench + ((None, "a short one", "here"), (901, " ".join(filler[100:300]), "with an answer"), (902, "alder", "oak"))
+    texts += ["so a short one is here", " ".join(filler[80:320]) + " with an answer", "alder oak", "alder"]
+    got = D.Index(items).search(texts)
+    found = 0
+    for t, hits in zip(texts, got):
+        want = slow_search(items, t)
+        assert {h.item: round(h.score, 6) for h in hits} == {i: round(float(s), 6) for i, s in want.items()}, t[:80]
+        found += len(want)
+    assert found > 30
+
+
+def test_pieces_are_searched_together(spark, make, bench, monkeypatch):
+    texts = [f"so {q} {a} then" for _, q, a in bench[:9]] + ["none of them"]
+    benchmark = spark.createDataFrame([(i, f"{q} {a}") for i, q, a in bench], "item_id long, text string")
+    whole = sorted(map(tuple, D.contamination(make(texts), benchmark).select("doc_id", "item_id").collect()))
+    monkeypatch.setattr(D, "ITEM_ROWS", 7)
+    monkeypatch.setattr(D, "PIECES", 2)
+    groups = list(D.grouped(D.items_of(benchmark)))
+    assert len(groups) == 3 and max(map(len, groups)) == 2 and sum(len(p) for g in groups for p in g) == len(bench)
+    assert sorted(map(tuple, D.contamination(make(texts), benchmark).select("doc_id", "item_id").collect())) == whole and len(whole) >= 9
+    keep = make(texts).filter(~D.is_contaminated(spark, groups[0])("text")).filter(~D.is_contaminated(spark, groups[1])("text")).filter(~D.is_contaminated(spark, groups[2])("text"))
+    assert [r.doc_id for r in keep.collect()] == [9]
+
+
 def test_wand_retrieves_all_above_threshold(sample):
     rng = np.random.default_rng(3)
     vocab = [f"t{i}" for i in range(120)]
