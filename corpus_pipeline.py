@@ -38,8 +38,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item."""
     ship(spark)
-    for items in decontaminate.items_of(table(spark, sf_dir, "benchmark")):
-        docs = docs.filter(~decontaminate.is_contaminated(items)(F.col("text")))
+    for pieces in decontaminate.grouped(decontaminate.items_of(table(spark, sf_dir, "benchmark"))):
+        docs = docs.filter(~decontaminate.is_contaminated(spark, pieces)(F.col("text")))
     return docs
 
 
