@@ -101,7 +101,8 @@ def elevate(found: DataFrame) -> DataFrame:
 
 
 def lookup_bound(calls: DataFrame, bindings: DataFrame, entries: list[tuple] = TS_MEMBER) -> DataFrame:
-    """calls (file, obj, prop, name) matched through the file's bindings (file, local, module, member): a namespace's member, or a bound name.
+    """calls (file, obj, prop, name) matched through the file's bindings (file, local, module, member): a namespace's member, or a bound name; or as the member of a
+    module that is named in full.
 
     member is null for a namespace binding; a bound name is looked up by its local name.
     """
@@ -110,8 +111,10 @@ def lookup_bound(calls: DataFrame, bindings: DataFrame, entries: list[tuple] = T
     named = bindings.filter("member IS NOT NULL").select("file", F.col("local").alias("name"), F.col("module").alias("_m2")).distinct()
     out = calls.join(space, ["file", "obj"], "left").join(named, ["file", "name"], "left")
     module = F.regexp_replace(F.coalesce("_m1", "_m2"), "^node:", "")
-    out = out.withColumn("_key", F.concat(module, F.lit("."), F.when(F.col("_m1").isNotNull(), F.col("prop")).otherwise(F.col("name"))))
-    return out.join(_spec(catalog(spark, entries), "_key", "_s"), "_key").select("file", "obj", "prop", "name", *[c for c in calls.columns if c not in ("file", "obj", "prop", "name")], "_s.id", "_s.category", "_s.severity", "_s.confidence")
+    out = out.withColumn("_key", F.concat(module, F.lit("."), F.when(F.col("_m1").isNotNull(), F.col("prop")).otherwise(F.col("name")))).withColumn("_full", F.concat("obj", F.lit("."), "prop"))
+    spec = catalog(spark, entries)
+    out = out.join(_spec(spec, "_key", "_s"), "_key", "left").join(_spec(spec, "_full", "_t"), "_full", "left").withColumn("_s", F.coalesce("_s", "_t")).filter("_s IS NOT NULL")
+    return out.select("file", "obj", "prop", "name", *[c for c in calls.columns if c not in ("file", "obj", "prop", "name")], "_s.id", "_s.category", "_s.severity", "_s.confidence")
 
 
 def lookup_typed(calls: DataFrame, types: DataFrame, entries: list[tuple] = JAVA_TYPED) -> DataFrame:
@@ -138,10 +141,15 @@ def rank_of(level):
 
 
 def order() -> list:
-    """The order of a report: severity, confidence, then place."""
+    """The order of a report: severity, confidence, then place()."""
     return [rank_of(F.col("severity")), rank_of(F.col("confidence")), F.col("module"), F.col("lineno")]
 
 
+def place(found: DataFrame) -> list:
+    """The order of places: module, line, and the called name where the findings have one."""
+    return [F.col("module"), F.col("lineno"), *(F.col(c) for c in ("dotted", "call") if c in found.columns)]
+
+
 def severity_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 

@@ -17,9 +17,9 @@ VIEWS = {
              ELSE CASE p_partkey % 4 WHEN 0 THEN 'abc.ABC' WHEN 1 THEN 'Mixin, core.BaseHandler' WHEN 2 THEN 'object' ELSE '' END END AS detail,
         p_partkey % 7 = 0 AS reexported, p_partkey % 5 = 0 AS has_override_point
       FROM part""",
-    # lineitem as seams of many modules
+    # lineitem as seams of many modules; lines that are equal in the ordinal, their module and their number are equal in all
     "v_seams_big": """
-      SELECT 'm' || CAST(l_orderkey % 5000 AS STRING) AS module, l_partkey AS seam_ord, l_linenumber AS lineno,
+      SELECT 'm' || CAST(l_orderkey % 5000 AS STRING) AS module, l_partkey * 100000 + l_suppkey AS seam_ord, l_linenumber AS lineno,
         CASE WHEN l_suppkey % 4 = 0 THEN 'class' WHEN l_suppkey % 4 = 1 THEN 'abstract_class' ELSE 'function' END AS kind,
         CASE WHEN l_partkey % 3 = 0 THEN 'on_event' WHEN l_partkey % 3 = 1 THEN 'JobHandler' ELSE 'plain' END AS name,
         CASE WHEN l_partkey % 5 = 0 THEN 'core.Base' ELSE '' END AS detail, l_suppkey % 7 = 0 AS reexported, l_suppkey % 5 = 0 AS has_override_point
@@ -32,20 +32,21 @@ VIEWS = {
         CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 0 ELSE 1 END AS side
       FROM events""",
     "v_points": """
-      SELECT l_orderkey AS id, l_linenumber AS side, l_partkey * 100000 + l_suppkey AS ord, l_returnflag AS kind, l_linestatus AS category,
+      SELECT l_orderkey AS id, 1 + (l_linenumber + 1) % 2 AS side, l_partkey * 100000 + l_suppkey AS ord, l_returnflag AS kind, l_linestatus AS category,
         CASE WHEN l_quantity < 10 THEN NULL ELSE 'def f(' || CAST(l_suppkey % 3 AS STRING) || ')' END AS signature,
         CASE WHEN l_tax > 0.05 THEN 'a, b' ELSE 'a' END AS implement
-      FROM lineitem WHERE l_linenumber <= 2""",
+      FROM lineitem""",
     "v_candidates": """
       SELECT lang AS target, CAST(doc_id AS STRING) AS id, CAST((n_chars - n_chars % 500) / 500 AS BIGINT) AS score, source AS module, 1 AS lineno, doc_id AS seam_ord
-      FROM documents WHERE n_chars >= 200""",
+      FROM documents""",
+    # labels of good documents; those of toxic ones name something that is no candidate
     "v_labels": """
-      SELECT d.lang AS target, CAST(l.doc_id AS STRING) AS id FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.quality = 1""",
+      SELECT d.lang AS target, CASE WHEN l.toxic = 1 THEN 'not ' ELSE '' END || CAST(l.doc_id AS STRING) AS id FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.quality = 1 OR l.toxic = 1""",
     "v_uses": "SELECT l_suppkey AS package, l_partkey AS symbol FROM lineitem",
-    "v_symbol_labels": "SELECT p_partkey AS symbol FROM part WHERE p_size <= 25",
+    "v_symbol_labels": "SELECT p_partkey AS symbol FROM part WHERE p_size <= 25 UNION ALL SELECT -1 - s_suppkey AS symbol FROM supplier",
     "v_findings": """
-      SELECT 'src/f' || CAST(l_orderkey AS STRING) || CASE WHEN l_partkey % 2 = 0 THEN '.ts' ELSE '.js' END AS path, 3 * l_linenumber AS line, l_returnflag AS tool
-      FROM lineitem WHERE l_returnflag <> 'N'""",
+      SELECT 'src/f' || CAST(l_orderkey AS STRING) || CASE WHEN l_partkey % 2 = 0 THEN '.ts' ELSE '.js' END AS path, 3 * l_linenumber AS line, CASE l_returnflag WHEN 'R' THEN 'R' ELSE 'A' END AS tool
+      FROM lineitem""",
     "v_hosts": "SELECT split_part(url, '/', 3) AS host, split_part(url, '/', 4) AS dir, page_id FROM pages",
     "v_imports": """
       SELECT split_part(url, '/', 3) AS src, CASE page_id % 4 WHEN 0 THEN '..' || replace(split_part(url, '/', 3), split_part(split_part(url, '/', 3), '.', 1) || '.', '')
@@ -64,7 +65,7 @@ VIEWS = {
       SELECT 'm' || CAST(o_custkey % 500 AS STRING) AS module, 'f' || CAST(o_orderkey % 7 AS STRING) AS name, o_orderkey AS ord, o_orderstatus = 'F' AS is_stub, o_orderpriority AS body
       FROM orders""",
     "v_attempts": """
-      SELECT conv_id AS point, CAST((turn + 1) / 2 AS INT) AS n, length(text) >= 80 AS ok FROM conversations WHERE turn % 2 = 1""",
+      SELECT conv_id AS point, CAST(turn + 1 AS INT) AS n, length(text) >= 80 AND role = 'assistant' AS ok FROM conversations""",
     "v_paths": """
       SELECT split_part(url, '/', 4) || '/' || CASE page_id % 5 WHEN 0 THEN 'plugins' WHEN 1 THEN 'src' WHEN 2 THEN 'Data' WHEN 3 THEN 'node_modules' ELSE 'lib' END || '/' ||
         CASE page_id % 3 WHEN 0 THEN 'config' WHEN 1 THEN 'Settings' ELSE 'main' END || '.' || CASE page_id % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'YAML' WHEN 2 THEN 'py' ELSE 'toml' END AS path
@@ -79,10 +80,7 @@ VIEWS = {
     "v_names": "SELECT p_partkey AS ord, p_name, p_brand, p_type FROM part",
 }
 
-# with an ordinal: lines that are equal in it, their module and their number are equal in all
-VIEWS["v_seams_all"] = VIEWS["v_seams_big"].replace("l_partkey AS seam_ord", "l_partkey * 100000 + l_suppkey AS seam_ord")
-
-TABLES = "part lineitem events documents labels pages customer orders conversations".split()
+TABLES = "part lineitem events documents labels pages customer orders conversations supplier".split()
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

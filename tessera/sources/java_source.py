@@ -111,6 +111,11 @@ def modules(spark: SparkSession, root: str, exclude: Paths = ()) -> DataFrame:
     return walk.parse(walk.paths(spark, root, ENDINGS, exclude), root, parse_module, SCHEMA, DDL)
 
 
+def modules_of(files: DataFrame) -> DataFrame:
+    """modules() of a table of sources (path, content)."""
+    return walk.parse_table(files, parse_module, SCHEMA, DDL)
+
+
 def audit(modules: DataFrame) -> DataFrame:
     """(module, lineno, id, category, severity, confidence): typed calls, constructors and hooks, once per line and id, the first visited."""
     ok = modules.filter("parse_error IS NULL")

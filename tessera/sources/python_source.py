@@ -123,6 +123,11 @@ def modules(spark: SparkSession, root: str, exclude: Paths = ()) -> DataFrame:
     return walk.parse(walk.paths(spark, root, ENDINGS, exclude), root, _with_name, SCHEMA, DDL)
 
 
+def modules_of(files: DataFrame) -> DataFrame:
+    """modules() of a table of sources (path, content)."""
+    return walk.parse_table(files, _with_name, SCHEMA, DDL)
+
+
 def _with_name(path: str, text: str) -> dict:
     try:
         return parse_module(path, text)

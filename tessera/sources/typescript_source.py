@@ -151,6 +151,11 @@ def modules(spark: SparkSession, root: str, exclude: Paths = ()) -> DataFrame:
     return walk.parse(files, root, parse_module, SCHEMA, DDL)
 
 
+def modules_of(files: DataFrame) -> DataFrame:
+    """modules() of a table of sources (path, content)."""
+    return walk.parse_table(files.filter(~F.lower("path").rlike(r"\.d\.[mc]?ts$")), parse_module, SCHEMA, DDL)
+
+
 def audit(modules: DataFrame) -> DataFrame:
     """(module, lineno, id, category, severity, confidence, call): members of risky modules through bindings, risky globals, computed loads, and
     timers with a text body."""

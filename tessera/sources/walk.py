@@ -1,7 +1,8 @@
 """Source trees as tables: a walk on the driver, then reading and parsing on the executors.
 
 Spark's file sources leave out files whose name begins with an underscore, and with them every package's __init__.py; so paths are listed here and the
-files read by the parsing task. On a cluster the tree must lie where the executors can read it.
+files read by the parsing task. On a cluster the tree must lie where the executors can read it. Sources that are already a table are parsed from there
+(parse_table), whatever their number.
 """
 
 from __future__ import annotations
@@ -38,6 +39,39 @@ def paths(spark: SparkSession, root: str, endings: tuple[str, ...], exclude: Pat
     return df.repartition(max(1, -(-len(found) // PATHS_PER_TASK)))
 
 
+def packages(root: str) -> list[tuple[str, str]]:
+    """(package, relative path) of the Python files of each package or single-file module in a folder of installed ones; metadata, scripts and caches aren't packages."""
+    out = []
+    for name in sorted(os.listdir(root)):
+        full = os.path.join(root, name)
+        if name.endswith((".dist-info", ".egg-info")) or name in ("bin", "__pycache__"):
+            continue
+        if os.path.isdir(full):
+            out += [(name, f"{name}/{p}") for p in walk(full, (".py",))]
+        elif name.endswith(".py"):
+            out.append((name.removesuffix(".py"), name))
+    return out
+
+
+def parse_table(files: DataFrame, parser: Callable[[str, str], dict], schema: pa.Schema, ddl: str) -> DataFrame:
+    """One row per row of a table of sources (path, content), wherever it comes from: parser(path, content), or a row with parse_error. A null content is empty."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [_parsed(parser, p, t or "") for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in schema} for r in rows], schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, ddl)
+
+
+def _parsed(parser: Callable[[str, str], dict], path: str, text: str) -> dict:
+    try:
+        return parser(path, text)
+    except (SyntaxError, ValueError, RecursionError) as e:
+        return {"path": path, "parse_error": f"{type(e).__name__}: {e}"}
+
+
 def parse(files: DataFrame, root: str, parser: Callable[[str, str], dict], schema: pa.Schema, ddl: str) -> DataFrame:
     """One row per path: parser(path, text), or, if the file can't be read or parsed, a row with parse_error."""
     ship(files.sparkSession)
@@ -48,8 +82,8 @@ def parse(files: DataFrame, root: str, parser: Callable[[str, str], dict], schem
             for p in b.column(0).to_pylist():
                 try:
                     with open(os.path.join(root, p), encoding="utf-8", newline="") as f:
-                        rows.append(parser(p, f.read()))
-                except (OSError, UnicodeDecodeError, SyntaxError, ValueError, RecursionError) as e:
+                        rows.append(_parsed(parser, p, f.read()))
+                except (OSError, UnicodeDecodeError) as e:
                     rows.append({"path": p, "parse_error": f"{type(e).__name__}: {e}"})
             yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in schema} for r in rows], schema=schema)
 
