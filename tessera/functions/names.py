@@ -106,3 +106,17 @@ def qualname(path: Column, dialect: str = "python") -> Column:
         return stem
     parts = F.split(stem, "/")
     return F.array_join(F.array_remove(parts, "__init__") if dialect == "python" else parts, ".")
+
+
+ARCHIVES = "https://repo1.maven.org/maven2"
+
+
+def archive_url(coordinate: Column, version: Column) -> Column:
+    """Where the sources of group:artifact in a version lie."""
+    group, artifact = F.substring_index(coordinate, ":", 1), F.substring_index(coordinate, ":", -1)
+    return F.concat_ws("/", F.lit(ARCHIVES), F.replace(group, F.lit("."), F.lit("/")), artifact, version, F.concat(artifact, F.lit("-"), version, F.lit("-sources.jar")))
+
+
+def archive_folder(root: Column, name: Column, version: Column) -> Column:
+    """The folder that a version's sources are unpacked in."""
+    return F.concat(root, F.lit("/"), name, F.lit("-"), version)

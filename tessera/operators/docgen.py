@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.names import slug
+
 OK = ("verified", "executed", "compiled")
 
 
@@ -25,8 +27,8 @@ def cache_key(*parts: Column) -> Column:
 
 
 def cached(prompts: DataFrame, cache: DataFrame) -> DataFrame:
-    """prompts (key) with the cached response where there is one."""
-    return prompts.join(cache.groupBy("key").agg(F.first("response").alias("response")), "key", "left")
+    """prompts (key) with the cached response where there is one; of several the largest, so that it is always the same."""
+    return prompts.join(cache.groupBy("key").agg(F.max("response").alias("response")), "key", "left")
 
 
 def within_budget(calls: DataFrame, most: int, by: str, order: str) -> DataFrame:
@@ -52,3 +54,43 @@ def extract_code(text: Column) -> Column:
 def totals(results: DataFrame) -> DataFrame:
     """(status, n) of generated and dropped points."""
     return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- prompts ---
+def guide_prompt(fact: Column) -> Column:
+    return F.concat(F.lit("How is this point extended? Say what it is, when it is used, and the steps, by these facts only.\n\n"), fact)
+
+
+def example_prompt(fact: Column, module: Column) -> Column:
+    ask = F.concat(F.lit("Write the smallest plugin for this point, as one Python code block and nothing else. Import from "), module, F.lit("; subclass a class, and give each abstract method a body. Use names of these facts only."))
+    return F.concat(ask, F.lit("\n\n"), fact)
+
+
+def overview_prompt(facts: Column, modules: Column, edges: Column) -> Column:
+    """facts: an array of fact blocks, in order."""
+    summary = F.concat(modules.cast("string"), F.lit(" modules, "), edges.cast("string"), F.lit(" dependencies"))
+    return F.concat(F.lit("How can this codebase be extended? Group its points by kind, by these facts only.\n\n"), summary, F.lit("\n\n"), F.array_join(facts, "\n---\n"))
+
+
+def remedy(reason: Column, missing: Column) -> Column:
+    """What to do about a failed preflight; nothing where it passed."""
+    install = F.concat(missing, F.lit(" isn't installed: pip install "), F.substring_index(missing, ".", 1), F.lit(", then run again."))
+    return F.when(reason == "missing_dependency", install).when(reason == "not_found", "The package can't be imported: pip install -e . in its folder, then run again.").when(reason == "import_error", "Mend the error above, then run again.").otherwise("")
+
+
+# --- files ---
+ENDINGS = {"java": "java", "javascript": "js", "typescript": "ts"}
+
+
+def example_path(point: Column, language: Column | str = "python") -> Column:
+    """Where a point's example lies; the ending is its language's, py where there is none."""
+    of = F.lit(language) if isinstance(language, str) else language
+    ending = F.lit("py")
+    for name, e in ENDINGS.items():
+        ending = F.when(of == name, e).otherwise(ending)
+    return F.concat(F.lit("examples/"), slug(point), F.lit("."), ending)
+
+
+def index_line(point: Column, category: Column, module: Column, status: Column) -> Column:
+    """A point's row in the index; one whose example no check has passed is marked."""
+    return F.concat(F.lit("| ["), point, F.lit("](guide.md) | "), category, F.lit(" | "), module, F.lit(" | "), F.when(status == "unverified", "UNVERIFIED").otherwise(status), F.lit(" |"))

@@ -44,3 +44,14 @@ def aggregate(ranks: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
     a = ranks.agg(F.count_if(F.col("rank") <= k).alias("hits"), F.count(F.lit(1)).alias("n_labels"))
     b = bounds.agg(F.count_if(F.col("worst") <= k).alias("worst_hits"), F.count_if(F.col("best") <= k).alias("best_hits"), F.count_if((F.col("best") <= k) & (F.col("worst") > k)).alias("tie_decided"))
     return a.crossJoin(b)  # one row each
+
+
+def scores(candidates: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """(target, n_candidates, n_labels, ranks, absent, hits, worst_hits, best_hits, median_rank) per target of labels (target, id).
+
+    candidates: (target, id, rank, score). ranks are ascending; labels that aren't candidates (absent) count as one behind the last.
+    """
+    ranks, bounds = label_ranks(candidates, labels), label_bounds(candidates, labels)
+    n = candidates.groupBy("target").agg(F.count(F.lit(1)).alias("n_candidates"))
+    per = ranks.groupBy("target").agg(F.count(F.lit(1)).alias("n_labels"), F.array_sort(F.collect_list("rank")).alias("ranks"), F.array_sort(F.collect_list(F.when(~F.col("found"), F.col("id")))).alias("absent"), F.count_if(F.col("rank") <= k).alias("hits"), F.median(F.col("rank").cast("double")).alias("median_rank"))
+    return per.join(recall_bounds(bounds, k), "target").join(F.broadcast(n), "target", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))

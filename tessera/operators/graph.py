@@ -34,6 +34,16 @@ def flatten_seams(functions: DataFrame, classes: DataFrame, dynamic: DataFrame)
     return f.unionByName(c).unionByName(d)
 
 
+def runtime_sites(seams: DataFrame) -> DataFrame:
+    """Where something is imported at run time."""
+    return seams.filter(F.col("kind") == "dynamic_import")
+
+
+def subclassable(seams: DataFrame) -> DataFrame:
+    """The classes, abstract or not."""
+    return seams.filter(F.col("kind").isin("class", "abstract_class"))
+
+
 def top_level_packages(modules: DataFrame) -> DataFrame:
     """Package modules (path ends in __init__.py) whose parent folder isn't a package itself."""
     init = modules.filter(F.col("path").endswith("__init__.py")).withColumn("folder", F.regexp_replace("path", "/?__init__\\.py$", ""))

@@ -27,16 +27,16 @@ def bands(points: DataFrame, by: list[str] | None = None) -> DataFrame:
 def ranked(points: DataFrame, by: list[str] | None = None) -> DataFrame:
     """points with rank: the 1-based position in the total order of their target.
 
-    Without a target the position is the number of points in higher bands plus the position within (score, module): windows are over modules and
-    over their counts, never over all rows at once.
+    With targets it is a window per target. Without, the position is the number of points in higher bands, plus those of modules before in the band, plus the position
+    within (score, module): windows are over modules and, per score, over their counts, never over all rows at once.
     """
-    by = by or []
-    local = Window.partitionBy(*by, "score", "module").orderBy("lineno", "seam_ord")
-    per = points.groupBy(*by, "score", "module").agg(F.count(F.lit(1)).alias("n"))
-    across = Window.partitionBy(*by).orderBy(F.desc("score"), "module") if by else Window.orderBy(F.desc("score"), "module")
-    before = per.withColumn("before", F.coalesce(F.sum("n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    numbered = points.withColumn("in_module", F.row_number().over(local))
-    return numbered.join(before, [*by, "score", "module"]).withColumn("rank", (F.col("before") + F.col("in_module")).cast("long")).drop("before", "in_module")
+    if by:
+        return points.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order())).cast("long"))
+    per = points.groupBy("score", "module").agg(F.count(F.lit(1)).alias("n"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("score").orderBy("module").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = per.withColumn("within", within).join(F.broadcast(bands(points)), "score").select("score", "module", (F.col("above") + F.col("within")).alias("before"))
+    local = F.row_number().over(Window.partitionBy("score", "module").orderBy("lineno", "seam_ord"))
+    return points.withColumn("in_module", local).join(before, ["score", "module"]).withColumn("rank", (F.col("before") + F.col("in_module")).cast("long")).drop("before", "in_module")
 
 
 def top(points: DataFrame, limit: int) -> DataFrame:
@@ -44,6 +44,11 @@ def top(points: DataFrame, limit: int) -> DataFrame:
     return points.orderBy(*order()).limit(limit)
 
 
+def numbered(points: DataFrame) -> DataFrame:
+    """points with rank, of a few that a limit has left: one window over all."""
+    return points.withColumn("rank", F.row_number().over(Window.orderBy(*order())))
+
+
 def tied_with(points: DataFrame) -> DataFrame:
     """points with tied_with: how many others have the same score, before any limit. The score counts are few and broadcast."""
     return points.join(F.broadcast(points.groupBy("score").agg((F.count(F.lit(1)) - 1).alias("tied_with"))), "score")

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import names as N
 from tessera.operators import crosscheck, diff, docgen, evaluate, facts, graph, ranking, scoring, sinks
-from tessera.sources import config_scan, python_source, snapshots
+from tessera.sources import config_scan, snapshots
 
-from . import detect, validate
+from . import validate
 from .adapters import ctes, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -563,33 +563,6 @@ def _(spark, d):
 
 
 
-# --- parsing: no SQL ---
-def _own_source() -> str:
-    from pathlib import Path
-
-    return str(Path(__file__).resolve().parents[1])
-
-
-@query("parse_tree")
-def _(spark, d):
-    """This library's own source, module by module."""
-    m = python_source.modules(spark, _own_source())
-    return m.select("qualname", "path", F.col("parse_error").isNull().alias("ok"), F.size("functions").alias("n_functions"), F.size("classes").alias("n_classes"), F.size("imports").alias("n_imports"))
-
-
-@query("detect_tree")
-def _(spark, d):
-    """Ranked points of this library's own source."""
-    points = detect.detect(detect.scan(spark, _own_source()), 0.4)
-    return points.select("module", "name", "kind", "lineno", "score", "category", F.array_join("signals", "; ").alias("signals"))
-
-
-@query("audit_tree")
-def _(spark, d):
-    """Risk findings in this library's own source."""
-    return detect.audit(detect.scan(spark, _own_source())).select("module", "lineno", "dotted", "id", "category", "severity", "confidence")
-
-
 # --- smaller operators ---
 @query("ok_failed_modules", f"""{ctes('v_modules')}, m AS (SELECT path, CASE WHEN ord % 5 = 0 THEN 'SyntaxError' END AS parse_error FROM v_modules) SELECT parse_error IS NULL AS ok, count(*) AS n FROM m GROUP BY 1""")
 def _(spark, d):

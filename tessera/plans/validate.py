@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import ship
 
+from .docs import point
+
 TIMEOUT = 10.0
 _PROBE = r"""
 import importlib, inspect, json, os, sys
@@ -65,6 +67,18 @@ def run_example(root: str, code: str, timeout: float = TIMEOUT) -> tuple[bool, s
 
 def validate_points(points: DataFrame, root: str, limit: int, timeout: float = TIMEOUT) -> DataFrame:
     """(module, name, category, ok, method, detail) of the first points; the limit comes before any code runs, and the probes run on the executors."""
+    return _probed(points.orderBy(F.desc("score"), "module", "lineno", "seam_ord").limit(limit).select("module", "name", "category"), root, timeout)
+
+
+def verify_scaffolds(points: DataFrame, root: str, only: str | None = None, timeout: float = TIMEOUT) -> DataFrame:
+    """(id, module, name, category, ok, method, detail) of a manifest's points, or of one: whether what a scaffold starts from can be loaded."""
+    chosen = points if only is None else point(points, only)
+    named = chosen.select("id", F.coalesce("module", F.lit("")).alias("module"), F.coalesce("symbol", F.lit("")).alias("name"), F.coalesce("category", F.lit("")).alias("category"))
+    keys = ["module", "name", "category"]
+    return named.join(_probed(named.select(*keys).distinct(), root, timeout), keys).select("id", *keys, "ok", "method", "detail").orderBy("id")
+
+
+def _probed(points: DataFrame, root: str, timeout: float) -> DataFrame:
     ship(points.sparkSession)
     schema = pa.schema([("module", pa.string()), ("name", pa.string()), ("category", pa.string()), ("ok", pa.bool_()), ("method", pa.string()), ("detail", pa.string())])
 
@@ -73,8 +87,7 @@ def validate_points(points: DataFrame, root: str, limit: int, timeout: float = T
             rows = [(*r.values(), *validate_point(root, *r.values(), timeout)) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
 
-    first = points.orderBy(F.desc("score"), "module", "lineno", "seam_ord").limit(limit).select("module", "name", "category")
-    return first.mapInArrow(run, "module string, name string, category string, ok boolean, method string, detail string")
+    return points.mapInArrow(run, "module string, name string, category string, ok boolean, method string, detail string")
 
 
 def tally(results: DataFrame) -> DataFrame:
@@ -98,5 +111,12 @@ def preflight(root: str, package: str, timeout: float = TIMEOUT) -> tuple[bool,
     return False, "import_error", ""
 
 
+def remedy(reason: str, missing: str) -> str:
+    """What to do about a failed preflight (docgen.remedy of a table's columns)."""
+    if reason == "missing_dependency":
+        return f"{missing} isn't installed: pip install {missing.split('.', 1)[0]}, then run again."
+    return "The package can't be imported: pip install -e . in its folder, then run again." if reason == "not_found" else "Mend the error above, then run again." if reason == "import_error" else ""
+
+
 def first_segment(name: Column) -> Column:
     return F.substring_index(name, ".", 1)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import subprocess
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import shared_dir
+
 
 def read_flat(spark: SparkSession, path: str) -> DataFrame:
     """An object with results, each with filename, line_number and test_id."""
@@ -20,5 +26,19 @@ def read_by_file(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("f.filePath").alias("path"), F.explode("f.messages").alias("m")).select("path", F.col("m.line").alias("line"), F.col("m.ruleId").alias("test_id"))
 
 
+def run(spark: SparkSession, command: list[str], read: Callable[[SparkSession, str], DataFrame], timeout: float = 600.0) -> DataFrame:
+    """What a scanner that prints JSON finds, read by read_flat or read_by_file; one that isn't installed, hangs or prints something else finds nothing.
+
+    Scanners exit with a failure when they find something, so their exit code says nothing.
+    """
+    try:
+        said = subprocess.run(command, capture_output=True, text=True, timeout=timeout).stdout
+    except (OSError, subprocess.TimeoutExpired):
+        said = ""
+    path = f"{shared_dir(spark)}/tessera/scanner-{uuid.uuid4().hex}"
+    spark.createDataFrame([(said or "{}",)], "value string").coalesce(1).write.text(path)
+    return read(spark, path)
+
+
 def in_scope(findings: DataFrame, tests: list[str]) -> DataFrame:
     return findings.filter(F.col("test_id").isin(tests))

@@ -95,15 +95,47 @@ def test_documents(spark, tmp_path):
 
     none = F.array().cast("array<string>")
     f = s.withColumn("signature", F.lit("class X")).withColumn("bases", none).withColumn("decorators", none).withColumn("implement", none)
-    made = docs.document(f, docs.FakeProvider("```x = 1```"), 1)
-    assert [d["id"] for d in made] == ["m:AHandler"] and made[0]["status"] == "compiled"
+    fake = docs.FakeProvider("```x = 1```")
+    made = docs.document(f, fake, 1)
+    assert [d["id"] for d in made.points] == ["m:AHandler"] and made.points[0]["status"] == "compiled" and made.unverified == 0
+    assert len(fake.calls) == 3 and fake.calls[0][1].startswith("How can this codebase be extended?") and "1 modules, 0 dependencies" in fake.calls[0][1]
     assert docs.write_docs(made, str(tmp_path / "d")) == ["examples/m_AHandler.py", "guide.md", "index.md"]
+    assert "| [m:AHandler](guide.md) |" in (tmp_path / "d/index.md").read_text()
     for name in ("one", "two"):
         docs.write_manifest(f, str(tmp_path / name))
     assert (tmp_path / "one").read_bytes() == (tmp_path / "two").read_bytes()
     assert [p["id"] for p in json.loads((tmp_path / "one").read_text())["points"]] == ["m:AHandler", "m:B"]
 
 
+def test_documents_of_many_points_in_order(spark, tmp_path):
+    """Threads don't change what comes out; failed points are dropped; ties go by the seams' order; other languages' examples aren't compiled."""
+    from pyspark.sql import functions as F
+
+    seam = "kind string, module string, name string, lineno int, detail string, reexported boolean, has_override_point boolean, seam_ord int"
+    s = scoring.score_seams(spark.createDataFrame([("class", "m", f"P{i}Handler", 1, "", False, False, i) for i in range(12)], seam))
+    none = F.array().cast("array<string>")
+    f = s.withColumn("signature", F.lit("")).withColumn("bases", none).withColumn("decorators", none).withColumn("implement", none)
+    checked = spark.createDataFrame([("m", "P0Handler", False, "import failed: x"), ("m", "P1Handler", True, "")], "module string, name string, ok boolean, detail string")
+    answer = lambda q: "```python\n(```" if "P3Handler" in q and q.startswith("Write") else f"```y = {len(q)}```"
+    runs = [docs.document(f, docs.FakeProvider(answer), 10, checked=checked, concurrency=n) for n in (1, 4)]
+    assert runs[0] == runs[1]
+    assert [p["id"] for p in runs[0].points] == [f"m:P{i}Handler" for i in range(1, 10)] and runs[0].unverified == 1
+    assert [(d["id"], d["reason"]) for d in runs[0].dropped] == [("m:P0Handler", "import_failed")]
+    docs.write_docs(runs[0], str(tmp_path))
+    text = (tmp_path / "index.md").read_text()
+    assert "1 can't be imported" in text and "UNVERIFIED" in text
+    other = docs.document(f, docs.FakeProvider("interface X {}"), 2, language="typescript")
+    assert [(p["status"], p["path"]) for p in other.points] == [("generated", "examples/m_P0Handler.ts"), ("generated", "examples/m_P1Handler.ts")]
+
+
+def test_providers_by_name():
+    docs.register_provider("echo", lambda **o: docs.FakeProvider(lambda q: q + o.get("end", "")))
+    assert docs.provider("echo", end="!").generate("s", "a") == "a!" and docs.provider("fake").generate("s", "a") == "ok"
+    assert docs.provider("tessera.plans.docs:FakeProvider", answer="b").generate("s", "a") == "b"
+    with pytest.raises(ValueError):
+        docs.provider("none")
+
+
 def test_languages():
     assert sources.languages() == ["java", "python", "typescript"]
     with pytest.raises(KeyError):
@@ -116,7 +148,7 @@ def test_stream_of_snapshots(spark, tmp_path):
     for rows in (["a", "b"], ["a", "a"]):
         spark.createDataFrame([(x, "m", "c", "k", "high", i) for i, x in enumerate(rows)], cols).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(src)
-    q = surface.watch(stream, str(tmp_path / "base"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q = surface.watch(stream, f"file://{tmp_path}/base", str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     got = sorted((r.batch, r.direction, r.id, r["count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(0, "introduced", "a", 1), (0, "introduced", "b", 1), (1, "introduced", "a", 1), (1, "removed", "b", 1)]
