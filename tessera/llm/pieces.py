@@ -36,10 +36,10 @@ from .common import TOKENIZERS, as_text, by_row, project, ship
 MARK = "▁"
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 #: A worker remembers at most so many words, none of them longer than MEMO_CHARS; beyond it forgets all of them and starts again.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 MEMO_CHARS = 64
 #: Pairs of pieces of which a worker remembers whether they are compatible.
-MEMO_PAIRS = 2_000_000
+MEMO_PAIRS = 500_000
 UNK_PENALTY = 10.0
 #: Texts of which the new words are segmented together.
 TEXTS = 256

@@ -41,8 +41,10 @@ STEPS = 400
 PREFIXES = (3, 4, 5, 6, 7)
 MIN_TEXTS = 3
 #: A worker remembers the weights of so many words, none longer than MEMO_CHARS.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 MEMO_CHARS = 64
+#: Texts of which features are counted at once.
+TEXTS = 128
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -202,13 +204,15 @@ def grade(toxic: np.ndarray, many: np.ndarray) -> np.ndarray:
     return toxic.astype(np.int64) + (toxic & (many > middle))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label_col: str = "toxic") -> DataFrame:
-    """(y, h, k, words) of the sampled texts, written: label, hash, sketch and distinct words. Of rows that repeat an id or a text, and of labels that contradict each
-    other, the largest label counts."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label_col: str = "toxic") -> tuple[DataFrame, DataFrame]:
+    """(texts, chosen), both written: what is known of some labelled texts (id, y, h, k, words): label, hash, sketch and distinct words; and of those that are used (id, y).
+
+    Of rows that repeat an id or a text, and of labels that contradict each other, the largest label counts. Words are never shuffled: texts are chosen by their narrow columns.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
     n = known.agg(F.count(F.when(F.col("y") > 0, 1)), F.count(F.when(F.col("y") <= 0, 1))).first()
     # a few times as many ids as are used, since copies of a text count once; picked by hash, each label on its own
-    share = [min(1.0, 3 * rows / max(1, x)) for x in n]
+    share = [min(1.0, 2 * rows / max(1, x)) for x in n]
     ids = known.filter(F.when(F.col("y") > 0, hash_below("doc_id", share[0])).otherwise(hash_below("doc_id", share[1]))).select("doc_id").distinct()
     picked = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"))
     held = project(docs).join(F.broadcast(picked), "doc_id").filter("text IS NOT NULL").select("y", "text")
@@ -221,22 +225,23 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label_co
 
         return f
 
-    described = by_row(held, "y int, h long, k binary, words array<string>", make)
-    each = described.groupBy("k").agg(F.max("y").alias("y"), F.min_by(F.struct("h", "words"), "h").alias("s")).select("y", "s.h", "k", "s.words")
+    texts = materialise(by_row(held, "y int, h long, k binary, words array<string>", make).withColumn("id", F.monotonically_increasing_id()), "op6-texts")
+    each = texts.groupBy("k").agg(F.max("y").alias("y"), F.min(F.struct("h", "id")).alias("s")).select("y", "s.h", "k", "s.id")
     rank = F.row_number().over(Window.partitionBy(F.col("y") > 0).orderBy("h", "k"))
-    return materialise(each.withColumn("r", rank).filter(F.col("r") <= rows).drop("r"), "op6-sample")
+    return texts, materialise(each.withColumn("r", rank).filter(F.col("r") <= rows).select("id", "y"), "op6-chosen")
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label_col: str = "toxic") -> Ordinal:
     """Fit from labels (doc_id, label_col) of docs; rows with a null on either side take no part. The same tables give the same model."""
     ship(docs.sparkSession)
-    used = sample(docs, labels, rows, label_col)
-    n = used.agg(F.count(F.when(F.col("y") > 0, 1)), F.count(F.when(F.col("y") <= 0, 1)), F.max("y")).first()
+    known, chosen = sample(docs, labels, rows, label_col)
+    used = known.drop("y").join(F.broadcast(chosen), "id")
+    n = chosen.agg(F.count(F.when(F.col("y") > 0, 1)), F.count(F.when(F.col("y") <= 0, 1)), F.max("y")).first()
     if not n[0] or not n[1]:
         return Ordinal({}, (40.0,))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(a, TEXTS) for whole in batches for a in range(0, whole.num_rows, TEXTS)):
             have = count_features(b.column(1).to_pylist(), [y > 0 for y in b.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.string()), pa.array([x for x, _ in have.values()], pa.int64()), pa.array([x for _, x in have.values()], pa.int64())], ["f", "a", "b"])
 
@@ -253,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label_col
             w = b.column(3).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([hold(x, column) for x in w], pa.list_(pa.int32())), pa.array([indicators(x, strong) for x in w], pa.int64())], ["y", "h", "k", "at", "many"])
 
-    got = sorted(used.mapInArrow(held, "y int, h long, k binary, at array<int>, many long").collect(), key=lambda r: (r.h, r.k))
+    got = sorted(used.select("y", "h", "k", "words").mapInArrow(held, "y int, h long, k binary, at array<int>, many long").collect(), key=lambda r: (r.h, r.k))
     y = np.array([r.y for r in got], np.int64)
     return fit_rows([r.at for r in got], y if n[2] > 1 else grade(y > 0, np.array([r.many for r in got])), names)
 
