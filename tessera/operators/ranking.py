@@ -1,11 +1,13 @@
 """Ranks, ties and limits of scored points. Scores take few distinct values, so ties are counted per score by aggregation and joined back
-by broadcast of a side whose size is the number of distinct scores; only rank positions of one target need a window."""
+by broadcast of a side whose size is the number of distinct scores; rank positions come from a range partitioning, or of one target from a window."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialise
+
 from .scoring import order
 
 LOADER = "plugin_loader"
@@ -27,16 +29,18 @@ def bands(points: DataFrame, by: list[str] | None = None) -> DataFrame:
 def ranked(points: DataFrame, by: list[str] | None = None) -> DataFrame:
     """points with rank: the 1-based position in the total order of their target.
 
-    With targets it is a window per target. Without, the position is the number of points in higher bands, plus those of modules before in the band, plus the position
-    within (score, module): windows are over modules and, per score, over their counts, never over all rows at once.
+    With targets it is a window per target. Without, the rows are range-partitioned by the order and sorted within, so that a row's place is the number of rows in the
+    partitions before plus its place in its own; the sorted rows are written first, since their places must not change between the two uses. No task sees more than its range.
     """
     if by:
         return points.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order())).cast("long"))
-    per = points.groupBy("score", "module").agg(F.count(F.lit(1)).alias("n"))
-    within = F.coalesce(F.sum("n").over(Window.partitionBy("score").orderBy("module").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = per.withColumn("within", within).join(F.broadcast(bands(points)), "score").select("score", "module", (F.col("above") + F.col("within")).alias("before"))
-    local = F.row_number().over(Window.partitionBy("score", "module").orderBy("lineno", "seam_ord"))
-    return points.withColumn("in_module", local).join(before, ["score", "module"]).withColumn("rank", (F.col("before") + F.col("in_module")).cast("long")).drop("before", "in_module")
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = points.repartitionByRange(n, *order()).sortWithinPartitions(*order()).withColumn("_at", F.monotonically_increasing_id())  # the partition, 33 bits up, and the place in it
+    written = materialise(in_order, "ranked").withColumn("_part", F.shiftright("_at", 33))
+    sizes = written.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    offsets = sizes.select("_part", before.alias("_before"))
+    return written.join(F.broadcast(offsets), "_part").withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_before", "_at")
 
 
 def top(points: DataFrame, limit: int) -> DataFrame:
