@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from heapq import nsmallest
 
 import numpy as np
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, by_row, hash_below, materialise, project, ship
+from .common import SLICE, as_text, by_row, hash_below, materialise, project, ship
 
 SAMPLE_ROWS = 2_000
 FEATURES = 400
@@ -40,9 +41,6 @@ RIDGE = 2e-4
 STEPS = 400
 PREFIXES = (3, 4, 5, 6, 7)
 MIN_TEXTS = 3
-#: A worker remembers the weights of so many words, none longer than MEMO_CHARS.
-MEMO_WORDS = 200_000
-MEMO_CHARS = 64
 #: Texts of which features are counted at once.
 TEXTS = 128
 _WORD = re.compile(r"[^\W_]+")
@@ -65,18 +63,14 @@ class Ordinal:
     thresholds: tuple[float, ...]
     cut: float = 0.5
 
-    def latent(self, text: str, memo: dict[str, float] | None = None) -> float:
-        return sum(self.word(w, memo) for w in words(text))
+    @cached_property
+    def heads(self) -> frozenset[str]:
+        """The first three letters of each feature; a word that begins otherwise holds none."""
+        return frozenset(f.rstrip("*")[:3] for f in self.weights)
 
-    def word(self, w: str, memo: dict[str, float] | None = None) -> float:
-        x = memo.get(w) if memo is not None else None
-        if x is None:
-            x = sum(self.weights.get(p, 0.0) for p in parts(w))
-            if memo is not None and len(w) <= MEMO_CHARS:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                memo[w] = x
-        return x
+    def latent(self, text: str) -> float:
+        heads, get = self.heads, self.weights.get
+        return math.fsum(get(p, 0.0) for w in words(text) if w[:3] in heads for p in parts(w))  # the order of a set doesn't show
 
     def exceed(self, z: np.ndarray) -> np.ndarray:
         """P(grade > k) for each k."""
@@ -283,10 +277,8 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
     """
 
     def make():
-        memo: dict[str, float] = {}
-
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            p = model.exceed(np.array([model.latent(t, memo) for t in as_text(b.column(1))], np.float64))
+            p = model.exceed(np.array([model.latent(t) for t in as_text(b.column(1))], np.float64))
             return pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(p[:, 0] >= model.cut)], ["doc_id", "expected_severity", "p_toxic", "toxic"])
 
         return f
@@ -296,11 +288,11 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
 
 def is_toxic(model: Ordinal):
     """A column function: text -> boolean, for filters."""
-    memo: dict[str, float] = {}
 
     @F.arrow_udf("boolean")
     def f(text: pa.Array) -> pa.Array:
-        return pa.array(model.exceed(np.array([model.latent(t, memo) for t in as_text(text)], np.float64))[:, 0] >= model.cut)
+        latent = [model.latent(t) for a in range(0, len(text), SLICE) for t in as_text(text[a : a + SLICE])]
+        return pa.array(model.exceed(np.array(latent, np.float64))[:, 0] >= model.cut)
 
     return f
 
