@@ -17,6 +17,8 @@ TOKENIZERS = "/opt/tokenizers"
 
 #: A side of a join is broadcast only if its rows take at most so many bytes.
 BROADCAST_BYTES = 32 << 20
+#: Rows of a batch that Python works on at once.
+SLICE = 2_048
 #: Rows that share a join key and that one task gets, at most.
 HOT_ROWS = 1_000_000
 
@@ -43,13 +45,13 @@ def as_text(col: pa.Array) -> list[str]:
 
 
 def by_row(docs: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
-    """mapInArrow with a function that make() builds once per task."""
+    """mapInArrow with a function that make() builds once per task, and that gets SLICE rows at a time, so that few texts are Python objects at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            if b.num_rows:
-                yield f(b)
+            for a in range(0, b.num_rows, SLICE):
+                yield f(b.slice(a, SLICE))
 
     return docs.mapInArrow(run, schema)
 

@@ -341,11 +341,12 @@ def is_contaminated(spark: SparkSession, pieces: Pieces):
 
     @F.arrow_udf("boolean")
     def f(text: pa.Array) -> pa.Array:
-        indexes, texts, out = Index.load(shipped.value), as_text(text), []
-        for a in range(0, len(texts), 512):
-            held = [False] * len(texts[a : a + 512])
+        indexes, out = Index.load(shipped.value), []
+        for a in range(0, len(text), 512):
+            texts = as_text(text[a : a + 512])
+            held = [False] * len(texts)
             for index in indexes:
-                held = [x or bool(h) for x, h in zip(held, index.search(texts[a : a + 512]))]
+                held = [x or bool(h) for x, h in zip(held, index.search(texts))]
             out += held
         return pa.array(out, pa.bool_())
 

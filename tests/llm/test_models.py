@@ -399,6 +399,37 @@ def test_recall_of_random_keys_and_false_alarms(sample):
     assert len(clean) > 150 and sum(bool(find(t)) for t in clean) <= 0.01 * len(clean)
 
 
+def test_token_spans_by_definition(sample):
+    """Every run of the alphabet, whole, against the rules one by one."""
+    import tiktoken  # noqa: F401
+
+    encs = C.encodings()
+    poor = lambda s: all(len(s) < C.CHARS_PER_TOKEN * len(e.encode_ordinary(s)) for e in encs)
+    rng = random.Random(21)
+    alphabet = string.ascii_letters + string.digits + "+/_=-"
+    texts = [t for _, t in sample] + PLANTED + [" ".join("".join(rng.choices(rng.choice([alphabet, "0123456789abcdef", "0123456789", "word_-1", string.ascii_lowercase]), k=rng.choice([15, 16, 20, 32, 36, 40, 64]))) for _ in range(8)) for _ in range(60)]
+    texts += ["123e4567-e89b-12d3-a456-426614174000 key=zXcVbNmAsDfGhJkL src/main/java/App2/Main"]
+    found = 0
+    for t in texts:
+        base = C.base_spans(t)
+        want = []
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", t):
+            s = m[0]
+            if any(a < m.end() and m.start() < b for _, a, b in base) or not re.search("[A-Za-z]", s) or re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s):
+                continue
+            if len(s) in (32, 40, 48, 56, 64, 96, 128) and (re.fullmatch("[0-9a-f]+", s) or re.fullmatch("[0-9A-F]+", s)):
+                continue
+            parts = [p for p in re.split("[-_/=+]+", s) if p]
+            letters = [re.sub("[0-9]*$", "", p) for p in parts if not p.isdigit()]
+            named = all(p.isdigit() or re.fullmatch("[A-Za-z]+[0-9]{0,4}", p) for p in parts)
+            words = named and any(sum(map(len, letters)) >= C.CHARS_PER_TOKEN * sum(len(e.encode_ordinary(x)) for x in letters) for e in encs)
+            if poor(s) and not words:
+                want.append(("token", *m.span()))
+        assert C.token_spans(t, base, encs) == want, t[:80]
+        found += len(want)
+    assert found > 50
+
+
 def test_overlaps_by_definition():
     rng = random.Random(1)
     for _ in range(300):
