@@ -10,6 +10,7 @@ import re
 import subprocess
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,18 @@ except BaseException as e: say(False, "error", f"{type(e).__name__}: {e}")
 _EXAMPLE = "import json, sys\nask = json.loads(sys.stdin.read())\nsys.path.insert(0, ask['root'])\nexec(compile(ask['code'], '<example>', 'exec'), {'__name__': 'example'})\nprint('\\n@@[true, \"executed\", \"\"]')\n"
 
 
+@contextmanager
+def modules_kept() -> Iterator[None]:
+    """What is imported inside is forgotten at the end, and what was there before is there again; for callers that load a target in their own process."""
+    before = dict(sys.modules)
+    try:
+        yield
+    finally:
+        for name in [n for n in sys.modules if n not in before]:
+            del sys.modules[name]
+        sys.modules.update(before)
+
+
 def isolated(program: str, ask: dict, timeout: float = TIMEOUT) -> tuple[bool, str, str]:
     """(ok, method, detail) of a program in a child process; one that hangs is killed."""
     try:

@@ -1,8 +1,11 @@
 import json
+import os
+import sys
+import zipfile
 
 from tessera.operators import crosscheck
 from tessera.plans import validate as V
-from tessera.sources import authority
+from tessera.sources import archives, authority
 
 CODE = '''
 from abc import ABC, abstractmethod
@@ -40,6 +43,33 @@ def test_points(spark, tmp_path):
     assert {r.verdict: r.n for r in V.tally(got).collect()} == {"PASS": 2, "SKIP": 1, "FAIL": 1}
 
 
+def test_modules_are_kept(tmp_path, monkeypatch):
+    (tmp_path / "a_target_of_the_test.py").write_text("import colorsys\nvalue = 1\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    sys.modules.pop("colorsys", None)
+    with V.modules_kept():
+        import a_target_of_the_test
+
+        assert a_target_of_the_test.value == 1 and "colorsys" in sys.modules
+        del sys.modules["json"]
+    assert "a_target_of_the_test" not in sys.modules and "colorsys" not in sys.modules and sys.modules["json"] is json
+
+
+def test_source_archives(tmp_path):
+    at = tmp_path / "repository/org/ex/lib/1.2"
+    at.mkdir(parents=True)
+    with zipfile.ZipFile(at / "lib-1.2-sources.jar", "w") as z:
+        z.writestr("org/ex/A.java", "class A {}")
+    (tmp_path / "repository/org/ex/bad/1").mkdir(parents=True)
+    (tmp_path / "repository/org/ex/bad/1/bad-1-sources.jar").write_text("no archive")
+    base, root = f"file://{tmp_path}/repository", str(tmp_path / "targets")
+    folder = archives.fetch("lib", "org.ex:lib", "1.2", root, base)
+    assert folder == f"{root}/lib-1.2" and (tmp_path / "targets/lib-1.2/org/ex/A.java").read_text() == "class A {}"
+    assert archives.fetch("lib", "org.ex:lib", "1.2", root, "file:///not/there") == folder
+    assert archives.fetch("bad", "org.ex:bad", "1", root, base) is None and archives.fetch("none", "org.ex:none", "1", root, base) is None
+    assert os.listdir(root) == ["lib-1.2"]
+
+
 def test_other_scanners(spark, tmp_path):
     (tmp_path / "flat.json").write_text(json.dumps({"results": [{"filename": "a.py", "line_number": 4, "test_id": "T1"}, {"filename": "a.py", "line_number": 9, "test_id": "T2"}]}))
     (tmp_path / "files.json").write_text(json.dumps([{"filePath": "b.ts", "messages": [{"line": 2, "ruleId": "r"}]}]))
