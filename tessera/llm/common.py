@@ -17,6 +17,8 @@ TOKENIZERS = "/opt/tokenizers"
 
 #: A side of a join is broadcast only if its rows take at most so many bytes.
 BROADCAST_BYTES = 32 << 20
+#: The same where the other side is narrow too, and costs little to shuffle.
+NARROW_BYTES = 1 << 20
 #: Rows of a batch that Python works on at once.
 SLICE = 2_048
 #: Rows that share a join key and that one task gets, at most.
@@ -80,15 +82,15 @@ def hash_below(col: str | Column, share: float) -> Column:
 def join_hot(rows: DataFrame, about: DataFrame, key: str, of: Column, n: str = "n") -> DataFrame:
     """rows joined with about, a written table of one row per key that says how many rows have it (n).
 
-    about is broadcast if it is small. Otherwise keys of more than HOT_ROWS rows are salted: their row of about is repeated per salt, and
+    Both are narrow, so about is broadcast only if it has NARROW_BYTES at most. Otherwise keys of more than HOT_ROWS rows are salted: their row of about is repeated per salt, and
     their rows are spread over the salts by the hash of a column (of). There are few such keys, at most one per HOT_ROWS rows.
     """
-    if small(about):
+    if small(about, min(NARROW_BYTES, BROADCAST_BYTES)):
         return rows.join(F.broadcast(about), key)
+    if (about.agg(F.max(n)).first()[0] or 0) <= HOT_ROWS:
+        return rows.join(about, key)
     salts = F.ceil(F.col(n) / F.lit(HOT_ROWS)).cast("int")
     hot = materialise(about.filter(F.col(n) > HOT_ROWS).select(key, salts.alias("salts_of_key")), "hot-keys")
-    if not hot.head(1):
-        return rows.join(about, key)
     spread = rows.join(F.broadcast(hot) if small(hot) else hot, key, "left").withColumn("salt_of_row", F.when(F.col("salts_of_key").isNotNull(), F.pmod(F.xxhash64(of), F.col("salts_of_key"))).otherwise(0).cast("int")).drop("salts_of_key")
     each = about.withColumn("salt_of_row", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
     return spread.join(each, [key, "salt_of_row"]).drop("salt_of_row")
