@@ -31,6 +31,7 @@ def ranked(points: DataFrame, by: list[str] | None = None) -> DataFrame:
 
     With targets it is a window per target. Without, the rows are range-partitioned by the order and sorted within, so that a row's place is the number of rows in the
     partitions before plus its place in its own; the sorted rows are written first, since their places must not change between the two uses. No task sees more than its range.
+    All columns of points are written, so give only those that are wanted beside the order's.
     """
     if by:
         return points.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order())).cast("long"))

@@ -137,12 +137,12 @@ def _(spark, d):
 # --- ranks, limits and ties ---
 @query("rank_points", f"{_POINTS} SELECT {_SEAM}, category, score, row_number() OVER (ORDER BY score DESC, module, lineno, seam_ord) AS rank FROM points")
 def _(spark, d):
-    return ranking.ranked(_points(spark, d)).select(*_SEAM_COLS, "category", "score", "rank")
+    return ranking.ranked(_points(spark, d).select(*_SEAM_COLS, "category", "score"))
 
 
 @query("rank_points_big", f"{_BIG} SELECT {_SEAM}, category, score, row_number() OVER (ORDER BY score DESC, module, lineno, seam_ord) AS rank FROM points")
 def _(spark, d):
-    return ranking.ranked(scoring.points(view(spark, d, "v_seams_big"))).select(*_SEAM_COLS, "category", "score", "rank")
+    return ranking.ranked(scoring.points(view(spark, d, "v_seams_big")).select(*_SEAM_COLS, "category", "score"))
 
 
 @query("min_score_filter", f"{_POINTS} SELECT seam_ord, score FROM points WHERE score >= CAST(0.8 AS DOUBLE)")

@@ -94,7 +94,10 @@ _JAVA = "WITH t AS (SELECT c_custkey AS k, 'src.J' || CAST(c_custkey AS STRING)
 
 def _files(spark: SparkSession, d: str, sql: str, table: str) -> DataFrame:
     text = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {table})", "FROM {t})")  # the sources' own braces are no fields
-    return spark.sql(text, t=spark.read.parquet(f"{d}/{table}.parquet"))
+    rows, n = spark.read.parquet(f"{d}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < n:  # a small table is one file; parsing needs more tasks than reading
+        rows = rows.repartition(n)
+    return spark.sql(text, t=rows)
 
 
 def _py(spark: SparkSession, d: str) -> DataFrame:

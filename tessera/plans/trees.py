@@ -55,7 +55,7 @@ def candidates(spark: SparkSession, trees: dict[str, tuple[str, str]], min_score
     """(target, id, rank, score) of the points to implement of each target: {target: (root, language)}. Ids begin with their target."""
     out = None
     for target, (root, lang) in sorted(trees.items()):
-        p = ranking.ranked(ranking.split_points(points_of(spark, root, lang, min_score))[0])
+        p = ranking.ranked(ranking.split_points(points_of(spark, root, lang, min_score))[0].select("module", "name", "lineno", "seam_ord", "score"))
         p = p.select(F.lit(target).alias("target"), names.target_id(F.lit(target), F.col("module"), F.col("name")).alias("id"), "rank", "score")
         out = p if out is None else out.unionByName(p)
     return spark.createDataFrame([], "target string, id string, rank long, score double") if out is None else out
