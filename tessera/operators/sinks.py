@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEVERITY_RANK = {level: r for r, level in enumerate("high medium low".split())}
@@ -70,6 +70,7 @@ JAVA_NEW = (
 JAVA_HOOK = _rows("deserialization", "JDESERHOOK", _M, _L, "readExternal readResolve readObject")
 JAVA_SHELLS = frozenset("powershell cmd.exe cmd /bin/bash /bin/sh zsh bash sh".split())
 
+_ENTRY = "id category severity confidence elevates".split()
 _SCHEMA = "pattern string, id string, category string, severity string, confidence string, elevates boolean"
 
 
@@ -81,6 +82,26 @@ def _spec(df: DataFrame, key: str, name: str) -> DataFrame:
     return F.broadcast(df.select(F.col("pattern").alias(key), F.struct("id", "category", "severity", "confidence", "elevates").alias(name)))
 
 
+def entry(key: Column, rows: list[tuple]) -> Column:
+    """The entry of a constant catalog for a key, null where there is none: no join, so calls are read once whatever number of catalogs they are held against."""
+    pairs = [x for pattern, *r in rows for x in (F.lit(pattern), F.struct(*(F.lit(v).alias(n) for n, v in zip(_ENTRY, r))))]
+    return F.create_map(*pairs)[key]
+
+
+def python_entry(dotted: Column) -> Column:
+    """The entry that lookup_python() finds for a called name."""
+    return F.coalesce(entry(dotted, PY_BARE), entry(F.substring_index(dotted, ".", -2), PY_DOTTED), entry(F.substring_index(dotted, ".", -1), PY_LOADER))
+
+
+def bound_entries(call: Column, bindings: Column, entries: list[tuple] = TS_MEMBER) -> Column:
+    """The entries that lookup_bound() finds for a call (obj, prop, name), given the bindings (local, module, member) of its file; as an array."""
+    fits = lambda b: (b["local"] == F.coalesce(call["obj"], call["name"])) & (b["member"].isNull() == call["obj"].isNotNull())
+    modules = F.array_distinct(F.transform(F.filter(bindings, fits), lambda b: b["module"]))
+    full = entry(F.concat(call["obj"], F.lit("."), call["prop"]), entries)
+    member = lambda m: F.coalesce(entry(F.concat(F.regexp_replace(m, "^node:", ""), F.lit("."), F.coalesce(call["prop"], call["name"])), entries), full)
+    return F.when(F.size(modules) == 0, F.array(full)).otherwise(F.transform(modules, member))
+
+
 def lookup_python(calls: DataFrame) -> DataFrame:
     """calls (dotted, shell_true, ...) that a catalog entry matches, with id, category, severity, confidence.
 

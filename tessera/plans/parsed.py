@@ -16,6 +16,10 @@ _N = " || chr(10) || "
 _K = "CAST(k AS STRING)"
 
 
+#: Rows of a large table that one parsing task gets.
+FILES_PER_TASK = 20_000
+
+
 def _case(by: int, *texts: str) -> str:
     """One of several SQL texts by the key's remainder."""
     return f"CASE k % {by} " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts[:-1])) + f" ELSE {texts[-1]} END"
@@ -95,21 +99,22 @@ _JAVA = "WITH t AS (SELECT c_custkey AS k, 'src.J' || CAST(c_custkey AS STRING)
 def _files(spark: SparkSession, d: str, sql: str, table: str) -> DataFrame:
     text = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {table})", "FROM {t})")  # the sources' own braces are no fields
     rows, n = spark.read.parquet(f"{d}/{table}.parquet"), spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < n:  # a small table is one file; parsing needs more tasks than reading
-        rows = rows.repartition(n)
+    tasks = n * max(1, round(rows.count() / n / FILES_PER_TASK))  # whole waves; a million rows may be one file, and parsing needs more tasks than reading
+    if rows.rdd.getNumPartitions() < tasks:
+        rows = rows.repartition(tasks)
     return spark.sql(text, t=rows)
 
 
-def _py(spark: SparkSession, d: str) -> DataFrame:
-    return python_source.modules_of(_files(spark, d, V_PY, "part"))
+def _py(spark: SparkSession, d: str, *facts: str) -> DataFrame:
+    return python_source.modules_of(_files(spark, d, V_PY, "part"), "path", "qualname", "parse_error", "all_exports", *facts)
 
 
-def _ts(spark: SparkSession, d: str) -> DataFrame:
-    return typescript_source.modules_of(_files(spark, d, V_TS, "customer"))
+def _ts(spark: SparkSession, d: str, *facts: str) -> DataFrame:
+    return typescript_source.modules_of(_files(spark, d, V_TS, "customer"), "qualname", "parse_error", *facts)
 
 
-def _java(spark: SparkSession, d: str) -> DataFrame:
-    return java_source.modules_of(_files(spark, d, V_JAVA, "customer"))
+def _java(spark: SparkSession, d: str, *facts: str) -> DataFrame:
+    return java_source.modules_of(_files(spark, d, V_JAVA, "customer"), "qualname", "parse_error", *facts)
 
 
 def _each(modules: DataFrame, column: str) -> DataFrame:
@@ -129,20 +134,20 @@ def _(spark, d):
   SELECT module, 'make' AS name, 5 AS lineno, 'first,size' AS args, CASE k % 2 WHEN 0 THEN 'app.register' ELSE '' END AS decorators, k % 3 = 0 AS raises_notimplemented, false AS is_stub, true AS is_public FROM ok
   UNION ALL SELECT module, '_over', CASE k % 2 WHEN 0 THEN 16 ELSE 19 END, CASE k % 2 WHEN 0 THEN 'a' ELSE '' END, CASE k % 2 WHEN 0 THEN 'overload' ELSE '' END, false, k % 2 = 0, false FROM ok) SELECT * FROM f""")
 def _(spark, d):
-    return _each(_py(spark, d), "functions").select("module", "name", "lineno", _text("args"), _text("decorators"), "raises_notimplemented", "is_stub", "is_public")
+    return _each(_py(spark, d, "functions"), "functions").select("module", "name", "lineno", _text("args"), _text("decorators"), "raises_notimplemented", "is_stub", "is_public")
 
 
 @query("python_classes", f"""{_PY} SELECT module, 'Tool' AS name, 7 AS lineno, CASE k % 5 WHEN 0 THEN 'abc.ABC' WHEN 1 THEN 'base.Handler' WHEN 2 THEN '' WHEN 3 THEN '' ELSE 'object,mixins.Log' END AS bases,
   CASE k % 5 WHEN 3 THEN 0 WHEN 4 THEN 2 ELSE 1 END AS n_bases, k % 5 = 0 OR k % 7 = 0 AS is_abstract, k % 6 = 0 AS has_override_point, 'run(self,data),__reduce__(self)' AS methods FROM ok""")
 def _(spark, d):
     methods = F.array_join(F.transform("methods", lambda m: F.concat(m["name"], F.lit("("), F.array_join(m["args"], ","), F.lit(")"))), ",")
-    return _each(_py(spark, d), "classes").select("module", "name", "lineno", _text("bases"), F.size("bases").alias("n_bases"), "is_abstract", F.exists("methods", lambda m: m["raises_notimplemented"]).alias("has_override_point"), methods.alias("methods"))
+    return _each(_py(spark, d, "classes"), "classes").select("module", "name", "lineno", _text("bases"), F.size("bases").alias("n_bases"), "is_abstract", F.exists("methods", lambda m: m["raises_notimplemented"]).alias("has_override_point"), methods.alias("methods"))
 
 
 @query("python_imports", f"""{_PY}, i AS (SELECT module, 'os.path' AS import, 'os.path' AS name, false AS fromlist FROM ok UNION ALL SELECT module, 'json', 'js', false FROM ok
   UNION ALL SELECT module, repeat('.', CAST(k % 3 AS INT)) || 'lib' || size, n, true FROM ok, (VALUES ('other'), ('item')) x(n)) SELECT * FROM i""")
 def _(spark, d):
-    m = _py(spark, d).select(F.col("qualname").alias("file"), F.explode("imports").alias("x"))
+    m = _py(spark, d, "imports").select(F.col("qualname").alias("file"), F.explode("imports").alias("x"))
     return m.select(F.col("file").alias("module"), F.col("x.module").alias("import"), "x.name", "x.fromlist")
 
 
@@ -153,7 +158,7 @@ def _(spark, d):
 
 @query("python_runtime_imports", f"""{_PY} SELECT module, 'import_module' AS kind, 14 AS lineno, 'plug' || size AS argument FROM ok UNION ALL SELECT module, '__import__', 19, NULL FROM ok WHERE k % 2 = 0""")
 def _(spark, d):
-    return _each(_py(spark, d), "dynamic_imports").select("module", "kind", "lineno", "argument")
+    return _each(_py(spark, d, "dynamic_imports"), "dynamic_imports").select("module", "kind", "lineno", "argument")
 
 
 _PY_SINKS = f"""{_PY}, s AS (SELECT module, 6 AS lineno, 'eval' AS dotted, 'TSX-EVAL' AS id, 'high' AS severity, 'high' AS confidence FROM ok WHERE k % 3 = 1
@@ -166,17 +171,18 @@ _PY_SINKS = f"""{_PY}, s AS (SELECT module, 6 AS lineno, 'eval' AS dotted, 'TSX-
 
 @query("audit_tree", f"{_PY_SINKS} SELECT * FROM s")
 def _(spark, d):
-    return detect.audit(_py(spark, d)).select("module", "lineno", "dotted", "id", "severity", "confidence")
+    return detect.audit(_py(spark, d, "calls")).select("module", "lineno", "dotted", "id", "severity", "confidence")
 
 
 @query("sink_places", f"{_PY_SINKS} SELECT module, lineno, dotted, row_number() OVER (PARTITION BY module ORDER BY lineno, dotted) AS nth FROM s")
 def _(spark, d):
     from pyspark.sql import Window
 
-    found = detect.audit(_py(spark, d))
+    found = detect.audit(_py(spark, d, "calls"))
     return found.select("module", "lineno", "dotted", F.row_number().over(Window.partitionBy("module").orderBy(*sinks.place(found)[1:])).cast("long").alias("nth"))
 
 
+_SEAMS = ("imports", "functions", "classes", "dynamic_imports")
 _PY_SEAMS = f"""{_PY}, x AS (SELECT module, 'function' AS kind, 'make' AS name, 5 AS lineno, CASE k % 2 WHEN 0 THEN 'app.register' ELSE '' END AS detail, false AS has_override_point FROM ok WHERE k % 4 IN (0, 1)
   UNION ALL SELECT module, CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN 'abstract_class' ELSE 'class' END, 'Tool', 7, CASE k % 5 WHEN 0 THEN 'abc.ABC' WHEN 1 THEN 'base.Handler' WHEN 2 THEN '' WHEN 3 THEN '' ELSE 'object, mixins.Log' END, k % 6 = 0 FROM ok WHERE k % 4 <> 3
   UNION ALL SELECT module, 'dynamic_import', 'import_module', 14, 'import_module(''plug' || size || ''')', false FROM ok
@@ -186,17 +192,17 @@ _PY_SEAMS = f"""{_PY}, x AS (SELECT module, 'function' AS kind, 'make' AS name,
 @query("detect_tree", f"{_PY_SEAMS} SELECT * FROM x")
 def _(spark, d):
     """The seams of all files: lists of exports decide what is visible (also empty ones), stubs are collapsed; no file is a package, so nothing is re-exported."""
-    return detect.seams(_py(spark, d)).select("module", "kind", "name", "lineno", "detail", "has_override_point")
+    return detect.seams(_py(spark, d, *_SEAMS)).select("module", "kind", "name", "lineno", "detail", "has_override_point")
 
 
 @query("runtime_sites", f"{_PY_SEAMS} SELECT module, name, lineno, detail FROM x WHERE kind = 'dynamic_import'")
 def _(spark, d):
-    return graph.runtime_sites(detect.seams(_py(spark, d))).select("module", "name", "lineno", "detail")
+    return graph.runtime_sites(detect.seams(_py(spark, d, *_SEAMS))).select("module", "name", "lineno", "detail")
 
 
 @query("subclassable", f"{_PY_SEAMS} SELECT module, name, kind FROM x WHERE kind IN ('class', 'abstract_class')")
 def _(spark, d):
-    return graph.subclassable(detect.seams(_py(spark, d))).select("module", "name", "kind")
+    return graph.subclassable(detect.seams(_py(spark, d, *_SEAMS))).select("module", "name", "kind")
 
 
 @query("exported_names", """WITH c AS (SELECT 'p' || CAST(c_custkey % 40 AS STRING) AS pkg, c_custkey AS k FROM customer),
@@ -218,13 +224,13 @@ def _(spark, d):
   UNION ALL SELECT module, 'function', 'helper', 8, k % 4 < 2, false, '', '', 'a,b?,...rest' FROM t
   UNION ALL SELECT module, 'class', 'Hidden', 12, k % 4 IN (0, 2), false, '', '', '' FROM t) SELECT * FROM x""")
 def _(spark, d):
-    return _each(_ts(spark, d), "declarations").select("module", "kind", "name", "lineno", "is_public", "is_abstract", _text("bases"), _text("decorators"), _text("args"))
+    return _each(_ts(spark, d, "declarations"), "declarations").select("module", "kind", "name", "lineno", "is_public", "is_abstract", _text("bases"), _text("decorators"), _text("args"))
 
 
 @query("typescript_bindings", f"""{_TS}, x AS (SELECT module, b.* FROM t, (VALUES ('run', 'child_process', 'exec'), ('spawn', 'child_process', 'spawn'), ('vm', 'node:vm', NULL), ('cp', 'child_process', NULL), ('fork', 'child_process', 'fork'), ('split', 'child_process', 'exec'))
   b(local, source, member)) SELECT * FROM x""")
 def _(spark, d):
-    m = _ts(spark, d).select(F.col("qualname").alias("file"), F.explode("bindings").alias("x"))
+    m = _ts(spark, d, "bindings").select(F.col("qualname").alias("file"), F.explode("bindings").alias("x"))
     return m.select(F.col("file").alias("module"), "x.local", F.col("x.module").alias("source"), "x.member")
 
 
@@ -232,7 +238,7 @@ def _(spark, d):
     (10, 'TSX-CHILD', 'child_process.exec', 'high'), (13, 'TSX-JSFUNC', 'Function', 'high')) b(lineno, id, call, severity)
   UNION ALL SELECT module, 10, 'TSX-TIMERSTR', 'setTimeout', 'medium' FROM t WHERE k % 2 = 0 UNION ALL SELECT module, 10, 'TSX-DYNREQUIRE', 'require', 'medium' FROM t WHERE k % 2 = 1) SELECT * FROM x""")
 def _(spark, d):
-    return typescript_source.audit(_ts(spark, d)).select("module", "lineno", "id", "call", "severity")
+    return typescript_source.audit(_ts(spark, d, "calls", "bindings")).select("module", "lineno", "id", "call", "severity")
 
 
 # --- Java: S7, P14 to P16, P20 to P22, E4, A12 ---
@@ -240,17 +246,17 @@ def _(spark, d):
   SELECT module, 'class' AS kind, 'Job' || CAST(k AS STRING) AS name, 6 AS lineno, k % 3 < 2 AS is_public, k % 3 = 0 AS is_abstract, 'Base,Hook,Other' AS bases, CASE k % 2 WHEN 0 THEN 'Plugin,Role' ELSE '' END AS decorators FROM t
   UNION ALL SELECT module, 'interface', 'Side', 17, false, true, 'A,B', '' FROM t UNION ALL SELECT module, 'record', 'Pair', 19, true, false, 'Cmp', '' FROM t UNION ALL SELECT module, 'enum', 'Kind', 19, false, false, '', '' FROM t) SELECT * FROM x""")
 def _(spark, d):
-    return _each(_java(spark, d), "declarations").select("module", "kind", "name", "lineno", "is_public", "is_abstract", _text("bases"), _text("decorators"))
+    return _each(_java(spark, d, "declarations"), "declarations").select("module", "kind", "name", "lineno", "is_public", "is_abstract", _text("bases"), _text("decorators"))
 
 
 @query("java_imports", f"{_JAVA} SELECT module, i.import FROM t, (VALUES ('java.io.ObjectInputStream'), ('java.util.List.of'), ('a.b.*')) i(import)")
 def _(spark, d):
-    return _java(spark, d).select(F.col("qualname").alias("module"), F.explode("imports").alias("import"))
+    return _java(spark, d, "imports").select(F.col("qualname").alias("module"), F.explode("imports").alias("import"))
 
 
 @query("java_types", f"{_JAVA} SELECT module, i.variable, i.type FROM t, (VALUES ('engine', 'ScriptEngine'), ('rt', 'Runtime')) i(variable, type)")
 def _(spark, d):
-    return _each(_java(spark, d), "types")
+    return _each(_java(spark, d, "types"), "types")
 
 
 # a builder's start() is one finding with its constructor, and the first visited, whose arguments name no shell
@@ -258,10 +264,10 @@ def _(spark, d):
   UNION ALL SELECT module, 12, 'TSX-JEXEC', 'medium' FROM t UNION ALL SELECT module, 13, 'TSX-DYNIMPORT', 'medium' FROM t UNION ALL SELECT module, 13, 'TSX-JEXEC', 'medium' FROM t
   UNION ALL SELECT module, 15, 'TSX-JDESERHOOK', 'medium' FROM t WHERE k % 2 = 0) SELECT * FROM x""")
 def _(spark, d):
-    return java_source.audit(_java(spark, d)).select("module", "lineno", "id", "severity")
+    return java_source.audit(_java(spark, d, "calls", "types")).select("module", "lineno", "id", "severity")
 
 
 # --- all front ends to points: U1, and declarations without re-exports ---
 @query("declared_points", f"""{_JAVA} SELECT module, 'Job' || CAST(k AS STRING) AS name, CASE k % 3 WHEN 0 THEN 'abstract_class' ELSE 'class' END AS kind FROM t WHERE k % 3 < 2 UNION ALL SELECT module, 'Pair', 'class' FROM t""")
 def _(spark, d):
-    return scoring.points(detect.declared_seams(_java(spark, d))).select("module", "name", "kind")
+    return scoring.points(detect.declared_seams(_java(spark, d, "declarations"))).select("module", "name", "kind")
