@@ -34,6 +34,24 @@ def flatten_seams(functions: DataFrame, classes: DataFrame, dynamic: DataFrame)
     return f.unionByName(c).unionByName(d)
 
 
+SEAM = ["kind", "module", "name", "lineno", "detail", "reexported", "has_override_point", "seam_ord"]
+
+
+def module_seams(modules: DataFrame) -> DataFrame:
+    """The seams that flatten_seams() gives, but for reexported, from rows of modules: one reading of them."""
+    def of(column: str, group: int, kind, name, detail, visible, override) -> Column:
+        return F.transform(column, lambda x, i: F.struct(kind(x).alias("kind"), name(x).alias("name"), x["lineno"].alias("lineno"), detail(x).alias("detail"), visible(x).alias("visible"), override(x).alias("has_override_point"), F.lit(group).alias("grp"), i.alias("idx")))
+
+    no = lambda x: F.lit(False)
+    shown = lambda x: public(x["name"], F.col("all_exports"), x["is_public"])
+    quoted = lambda x: F.concat(x["kind"], F.lit("("), F.coalesce(F.concat(F.lit("'"), x["argument"], F.lit("'")), F.lit("")), F.lit(")"))
+    f = of("functions", 0, lambda x: F.lit("function"), lambda x: x["name"], lambda x: F.array_join(x["decorators"], ", "), shown, no)
+    c = of("classes", 1, lambda x: F.when(x["is_abstract"], "abstract_class").otherwise("class"), lambda x: x["name"], lambda x: F.array_join(x["bases"], ", "), shown, lambda x: F.exists(x["methods"], lambda m: m["raises_notimplemented"]))
+    d = of("dynamic_imports", 2, lambda x: F.lit("dynamic_import"), lambda x: x["kind"], quoted, lambda x: F.lit(True), no)
+    found = modules.select(F.col("qualname").alias("module"), F.explode(F.concat(f, c, d)).alias("x")).filter("x.visible")
+    return found.select("module", "x.kind", "x.name", "x.lineno", "x.detail", "x.has_override_point", F.struct(F.col("module").alias("module_ord"), "x.grp", "x.idx").alias("seam_ord"))
+
+
 def runtime_sites(seams: DataFrame) -> DataFrame:
     """Where something is imported at run time."""
     return seams.filter(F.col("kind") == "dynamic_import")

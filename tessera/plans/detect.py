@@ -23,12 +23,9 @@ def exported_names(modules: DataFrame) -> DataFrame:
 
 
 def seams(modules: DataFrame) -> DataFrame:
-    """All seams of the parsed modules. modules is used several times: pass a written or cached table."""
-    names = exported_names(modules)
-    see = lambda df: graph.reexported(df.withColumn("visible", graph.public(F.col("name"), F.col("all_exports"), F.col("is_public"))), names)
-    functions = see(_table(modules, "functions"))
-    classes = see(_table(modules, "classes")).withColumn("has_override_point", F.exists("methods", lambda m: m["raises_notimplemented"]))
-    return graph.flatten_seams(functions, classes, _table(modules, "dynamic_imports"))
+    """All seams of the parsed modules, which are read once for them, and once more where reexported is asked for: then pass a written or cached table."""
+    found = graph.reexported(graph.module_seams(modules.filter("parse_error IS NULL")), exported_names(modules))
+    return found.withColumn("reexported", F.col("reexported") & (F.col("kind") != "dynamic_import")).select(*graph.SEAM)
 
 
 def detect(modules: DataFrame, min_score: float = 0.0) -> DataFrame:
