@@ -35,9 +35,9 @@ def detect(modules: DataFrame, min_score: float = 0.0) -> DataFrame:
 def audit(modules: DataFrame) -> DataFrame:
     """Risk findings of Python modules: calls in the catalog, and definitions that customise pickling."""
     calls = _table(modules, "calls").drop("module_ord", "all_exports").withColumnRenamed("idx", "visit_ord")
-    hits = sinks.lookup_python(calls.filter("NOT is_definition"))
-    spec = F.broadcast(sinks.catalog(modules.sparkSession, sinks.PY_METHOD).drop("elevates").withColumnRenamed("pattern", "dotted"))
-    return hits.unionByName(calls.filter("is_definition").join(spec, "dotted"), allowMissingColumns=True).drop("is_definition", "shell_true")
+    name = F.col("dotted")
+    spec = F.when(F.col("is_definition"), sinks.entry(name, sinks.PY_METHOD)).otherwise(sinks.python_entry(name))
+    return sinks.elevate(calls.withColumn("_s", spec).filter("_s IS NOT NULL").select("*", "_s.*")).drop("_s", "is_definition", "shell_true")
 
 
 def edges(modules: DataFrame) -> DataFrame:
